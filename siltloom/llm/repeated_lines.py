@@ -21,6 +21,8 @@ from siltloom.session import bound_arrow, cut, small_side
 
 MIN_ROWS = 5
 MIN_SHARE = 0.3
+#: Sources up to which their repeated lines (some hundred texts each at most) are broadcast.
+MAX_SOURCES = 2_000
 
 
 def lines_table(pages: DataFrame) -> DataFrame:
@@ -89,7 +91,9 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 def strip_repeated(pages: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
     """``page_id, sp_source, text, n_removed``: every page's distinct lines without the repeated ones of its source."""
     table = cut(lines_table(pages), "p4-lines")
-    bad = repeated_lines(pages, min_rows, min_share, table).groupBy("sp_source").agg(F.collect_set("line_text").alias("bad"))
-    joined = table.join(bad, _same(table, bad), "left")
+    bad = small_side(
+        repeated_lines(pages, min_rows, min_share, table).groupBy(F.col("sp_source").alias("source")).agg(F.collect_set("line_text").alias("bad")), "p4-bad", MAX_SOURCES
+    )
+    joined = table.join(bad, F.col("sp_source").eqNullSafe(F.col("source")), "left")
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("bad", x), F.lit(False)))
-    return joined.select("page_id", table["sp_source"], F.array_join(kept, "\n").alias("text"), (F.size("lines") - F.size(kept)).alias("n_removed"))
+    return joined.select("page_id", "sp_source", F.array_join(kept, "\n").alias("text"), (F.size("lines") - F.size(kept)).alias("n_removed"))
