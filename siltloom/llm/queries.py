@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltloom.llm.format_duplicates import distinct_records, format_duplicates
 from siltloom.llm.main_content import main_body_lines
 from siltloom.llm.repeated_lines import repeated_lines, strip_repeated
 from siltloom.llm.residue import clean_teasers, residue_cases
 from siltloom.session import read_table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_duplicates(read_table(spark, d, "teasers_raw"), read_table(spark, d, "index_raw"))
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return distinct_records(read_table(spark, d, "teasers_raw"), read_table(spark, d, "index_raw"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_cases(read_table(spark, d, "pages_in"), read_table(spark, d, "teasers_raw"), read_table(spark, d, "sites"))
 
@@ -34,6 +43,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_records": p1_records,
         "p2_found": p2_found,
         "p2_clean_teasers": p2_clean_teasers,
         "p4_found": p4_found,
