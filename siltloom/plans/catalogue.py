@@ -6,10 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltloom.operators.snapshots import snapshot_changes
+from siltloom.session import read_table
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot_changes(read_table(spark, d, "index_docs"), read_table(spark, d, "run_status"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p7_found": p7_found}
+
+
+P7_SQL = """
+WITH runs AS (
+  SELECT crawl_process_id, sp_source, row_number() OVER (PARTITION BY sp_source ORDER BY started_at, crawl_process_id) AS run_no
+  FROM run_status WHERE errors = 0
+), docs AS (
+  SELECT r.sp_source, r.run_no, d.id, arg_max(struct_pack(a := d.title, b := d.sp_intro, c := d.sp_date, e := d.sp_objecttype), (d.indexed_at, d.entry_id)) AS body
+  FROM index_docs d JOIN runs r ON r.crawl_process_id = d.crawl_process_id AND r.sp_source = d.sp_source[1]
+  WHERE d.id IS NOT NULL GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT coalesce(n.sp_source, o.sp_source) AS sp_source, coalesce(n.run_no, o.run_no + 1) AS run_no, coalesce(n.id, o.id) AS id,
+    CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+  FROM docs o FULL OUTER JOIN docs n ON n.sp_source = o.sp_source AND n.run_no = o.run_no + 1 AND n.id = o.id
+  WHERE o.id IS NULL OR n.id IS NULL OR o.body IS DISTINCT FROM n.body
+)
+SELECT p.sp_source, r.crawl_process_id, p.id, p.change_kind
+FROM pairs p JOIN runs r ON r.sp_source = p.sp_source AND r.run_no = p.run_no WHERE p.run_no > 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_found": P7_SQL}
