@@ -7,15 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltloom.operators.snapshots import snapshot_changes
+from siltloom.operators.timestamps import normalise, timestamp_values
 from siltloom.session import read_table
 
 
+def _instants(spark: SparkSession, d: str) -> DataFrame:
+    values = timestamp_values(read_table(spark, d, "teasers_raw"), read_table(spark, d, "index_docs"))
+    return normalise(values, read_table(spark, d, "sites"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _instants(spark, d).where("certain").select("origin", "record_key", "utc_us")
+
+
+def p3_instants(spark: SparkSession, d: str) -> DataFrame:
+    return _instants(spark, d)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(read_table(spark, d, "index_docs"), read_table(spark, d, "run_status"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found}
+    return {"p3_found": p3_found, "p3_instants": p3_instants, "p7_found": p7_found}
 
 
 P7_SQL = """
