@@ -7,7 +7,7 @@ first, then full-outer-joined against the ledger's matching buckets: counts are
 representative is retained, and untouched buckets are not read or written.
 
 A record that makes up a third of all rows is one row after the aggregation of each task, so nothing is
-skewed there; where copies are listed, hot records go by a broadcast of at most ``HOT_PARTS`` rows.
+skewed there; where copies are listed, hot records go by a broadcast of a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltloom.functions.skew import join_counted
 from siltloom.session import bound_arrow, cut, work_folder
 
 #: Whitespace of every kind (zero-width ones included) and punctuation.
 _STRIP = r"[\s\p{Z}\p{P}\x1c-\x1f\x85\x{200b}\x{2060}\x{feff}]+"
-#: A record is hot when it has more than this part of all rows; so there are fewer hot ones than that.
-HOT_PARTS = 1000
 BUCKETS = 8
 
 
@@ -182,11 +181,7 @@ def all_records(teasers: DataFrame, raw: DataFrame) -> DataFrame:
 def copies(records: DataFrame, ledger: Ledger) -> DataFrame:
     """``origin, first_key, copy_key``: the smallest key of each record with several rows, with each other key."""
     known = ledger.table().where("n_copies > 1").drop("bucket")
-    limit = records.count() // HOT_PARTS
-    hot = F.broadcast(known.where(F.col("n_copies") > limit))  # fewer than HOT_PARTS rows by its definition
-    cold = known.where(F.col("n_copies") <= limit)
-    on = ["origin", "hi", "lo"]
-    listed = records.join(hot, on).unionByName(records.join(cold, on))
+    listed = join_counted(records, known, ["origin", "hi", "lo"], "n_copies", records.count())
     return listed.where("row_key <> first_key").select("origin", "first_key", F.col("row_key").alias("copy_key"))
 
 

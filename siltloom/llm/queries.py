@@ -10,6 +10,7 @@ from siltloom.llm.format_duplicates import distinct_records, format_duplicates
 from siltloom.llm.main_content import main_body_lines
 from siltloom.llm.repeated_lines import repeated_lines, strip_repeated
 from siltloom.llm.residue import clean_teasers, residue_cases
+from siltloom.llm.truncation import truncated, truncation_rates
 from siltloom.session import read_table
 
 
@@ -41,6 +42,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return main_body_lines(read_table(spark, d, "pages_in"), read_table(spark, d, "sites"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(read_table(spark, d, "teasers_raw"), read_table(spark, d, "sites"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(read_table(spark, d, "teasers_raw"), read_table(spark, d, "sites"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -50,6 +59,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_stripped": p4_stripped,
         "p5_found": p5_found,
+        "p6_found": p6_found,
+        "p6_rates": p6_rates,
     }
 
 
