@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,8 +55,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, for those that don't have it on their path.
+
+    The archive is made on the driver and handed out by Spark's own file server.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_siltloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="siltloom-")) / "siltloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"{root.name}/{path.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._siltloom_shipped = True
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship_package(spark)
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
