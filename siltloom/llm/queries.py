@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltloom.llm.format_duplicates import distinct_records, format_duplicates
 from siltloom.llm.main_content import main_body_lines
+from siltloom.llm.packing import document_items, fill_containers, fill_report
 from siltloom.llm.repeated_lines import repeated_lines, strip_repeated
 from siltloom.llm.residue import clean_teasers, residue_cases
+from siltloom.llm.text_quality import not_prose, text_statistics
+from siltloom.llm.tokenizer import encode
 from siltloom.llm.truncation import truncated, truncation_rates
 from siltloom.session import read_table
 
@@ -50,6 +53,26 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(read_table(spark, d, "teasers_raw"), read_table(spark, d, "sites"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(read_table(spark, d, "documents"))
+
+
+def p9_assigned(spark: SparkSession, d: str) -> DataFrame:
+    return fill_containers(document_items(read_table(spark, d, "documents")), read_table(spark, d, "container_sizes"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p9_assigned(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(read_table(spark, d, "documents"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(read_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -61,6 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_rates": p6_rates,
+        "p8_ids": p8_ids,
+        "p9_assigned": p9_assigned,
+        "p9_fill": p9_fill,
+        "p10_found": p10_found,
+        "p10_statistics": p10_statistics,
     }
 
 
