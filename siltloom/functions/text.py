@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that a plain trim removes: space, tab, line feed, carriage return, NUL, vertical tab.
 TRIM = " \t\n\r\0\x0b"
@@ -106,7 +107,7 @@ def decode_entities(text: str) -> str:
     return _ENTITY.sub(_entity, text) if "&" in text else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _markup_out(values: pd.Series) -> pd.Series:
     return values.map(lambda s: decode_entities(strip_tags(s)) if isinstance(s, str) else None)
 

@@ -172,7 +172,7 @@ def starts_with_any(c: Column, prefixes: tuple[str, ...]) -> Column:
 
 def path_ends_with_any(url: Column, endings: tuple[str, ...]) -> Column:
     """Does the path, in lower ASCII case and without query and fragment, end with one of them? False without a path."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     lower = F.translate(path, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = F.lit(False)
     for e in endings:
