@@ -426,7 +426,7 @@ _STRIPPED = (
     r"regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q = '' THEN '' ELSE '?' || q END || CASE WHEN f = '' THEN '' ELSE '#' || f END"
 )
 _QUERY = (
-    r"array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), x -> x <> '' AND split_part(x, '=', 1) NOT IN ('seite', 'view')), '&') AS q, "
+    r"ltrim(regexp_replace(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '(^|&)(seite|view)=[^&]*', '', 'g'), '&') AS q, "
     r"regexp_extract(url, '#(.+)$', 1) AS f"
 )
 _STRIP_SQL = f"SELECT page_id AS ord, {_STRIPPED} AS url FROM (SELECT page_id, url, {_QUERY} FROM pages_in)"
