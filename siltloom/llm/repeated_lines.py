@@ -34,7 +34,8 @@ def lines_table(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            pdf["lines"] = [list(dict.fromkeys(page_lines(h))) if isinstance(h, str) else [] for h in pdf["html"]]
+            lines = [list(dict.fromkeys(page_lines(h))) if isinstance(h, str) else [] for h in pdf["html"]]
+            pdf["lines"] = pd.Series(lines, index=pdf.index, dtype="object")
             yield pdf.drop(columns="html")
 
     return pages.select(
