@@ -49,7 +49,8 @@ def extract_links(pages: DataFrame, section: str, selector: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"url": pdf["url"], "links": [links_of(h if isinstance(h, str) else None, u, section, selector) for u, h in zip(pdf["url"], pdf["html"])]})
+            links = [links_of(h if isinstance(h, str) else None, u, section, selector) for u, h in zip(pdf["url"], pdf["html"])]
+            yield pd.DataFrame({"url": pdf["url"], "links": pd.Series(links, index=pdf.index, dtype="object")})
 
     return pages.select("url", "html").mapInPandas(run, "url string, links array<string>")
 

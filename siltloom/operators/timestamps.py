@@ -42,9 +42,9 @@ def interpretations(values: DataFrame, sites: DataFrame) -> DataFrame:
             keep = [bool(x) for x in found]
             out = pdf.loc[keep, ["origin", "record_key", "sp_source"]]
             found = [x for x in found if x]
-            out["forms"] = [[r.form for r in x] for x in found]
-            out["instants"] = [[r.utc_us for r in x] for x in found]
-            out["certain"] = [[r.certain for r in x] for x in found]
+            out["forms"] = pd.Series([[r.form for r in x] for x in found], index=out.index, dtype="object")
+            out["instants"] = pd.Series([[r.utc_us for r in x] for x in found], index=out.index, dtype="object")
+            out["certain"] = pd.Series([[r.certain for r in x] for x in found], index=out.index, dtype="object")
             yield out
 
     return (

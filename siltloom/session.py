@@ -15,10 +15,13 @@ ARROW_ROWS = 500
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "4g") -> SparkSession:
-    """A session for tests and benches on one machine."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "4g", work: str | None = None) -> SparkSession:
+    """A session for tests and benches on one machine; ``work`` becomes its ``spark.checkpoint.dir``."""
+    builder = SparkSession.builder.master(f"local[{cores}]")
+    if work:
+        builder = builder.config(CHECKPOINT_DIR, work)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
@@ -39,12 +42,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
     All executors see it, so data written there survives the loss of an executor. Only where the
-    setting is unset (tests, a single machine) a temporary folder is chosen and set.
+    setting is unset (tests, a single machine) a temporary folder is chosen, one a session.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='siltloom-')}"
-        spark.conf.set(CHECKPOINT_DIR, root)
+        context = spark.sparkContext
+        root = getattr(context, "_siltloom_work", None)
+        if root is None:
+            root = context._siltloom_work = f"file://{tempfile.mkdtemp(prefix='siltloom-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
