@@ -28,7 +28,8 @@ BUCKETS = 8
 
 def canonical(text: Column) -> Column:
     """Text without whitespace, punctuation and case (full Unicode case, ß equals SS); null stays null."""
-    return F.regexp_replace(F.upper(F.lower(text)), _STRIP, "")
+    # lower, then upper folds all of Unicode; the step between keeps the optimizer from leaving out the first
+    return F.regexp_replace(F.upper(F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))), _STRIP, "")
 
 
 def canonical_url(url: Column) -> Column:
@@ -161,7 +162,8 @@ def fill_ledger(records: DataFrame, batches: int = 3, buckets: int = BUCKETS) ->
     """A ledger that took in ``records`` in ``batches`` steps by their time of arrival (nulls come first)."""
     ledger = Ledger(records.sparkSession, None, buckets)
     at = F.unix_micros("arrived").cast("double")
-    cuts = records.where(F.col("arrived").isNotNull()).select(at.alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.05)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = records.where(F.col("arrived").isNotNull()).select(at.alias("at")).approxQuantile("at", shares, 0.05) if shares else []
     bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds, bounds[1:]):
         part = records
