@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +46,7 @@ _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúû
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzß]{6,}", re.I)
 _INNER_CAPITAL = re.compile(r"[a-zà-ÿ][A-ZÀ-Þ]|[A-ZÀ-Þ]{2}[a-zà-ÿ]+[A-ZÀ-Þ]")
 _GARBLED = re.compile(r"[�\u0080-\u009f]|[ÃÂ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[¤¶¼€šŸ](?=[^\W\d_])|(?<=[^\W\d_])[¤¶¼€šŸ�]")
+_SUSPECT = re.compile(r"[�\u0080-\u009fÃÂ¤¶¼€šŸ]")
 _BULLET = re.compile(r"\s*(?:[-–—•*·▪◦‣»>]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _STOP = re.compile(r"[.!?…:][\s\"”“»«’')\]]*\Z")
 _INNER_STOP = re.compile(r"[^\W\d_]{2,}[.!?…][\"”“»’')\]]*\s+[\"“„«‚‘'(\[–—-]*\s?[^\W\d_]")
@@ -84,6 +86,10 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     return max(0.0, total)
 
 
+def _garbled(text: str) -> int:
+    return len(_GARBLED.findall(text)) if not text.isascii() and _SUSPECT.search(text) else 0
+
+
 def _word_kind(w: str) -> int:
     first = w[0]
     if not first.isalnum():
@@ -107,16 +113,29 @@ def _word_kind(w: str) -> int:
     return 1
 
 
-def _kinds(text: str) -> list[int]:
+#: Kinds of words met in this worker; beyond this number the store starts anew.
+MAX_KNOWN = 200_000
+_known: dict[str, int] = {}
+
+
+def _kinds(tokens: list[str]) -> list[int]:
     counts = [0] * 6
-    for w in _TOKEN.findall(text):
-        counts[_word_kind(w)] += 1
+    for w in tokens:
+        k = _known.get(w)
+        if k is None:
+            k = _word_kind(w)
+            if len(w) <= 40:
+                if len(_known) >= MAX_KNOWN:
+                    _known.clear()
+                _known[w] = k
+        counts[k] += 1
     return counts
 
 
 def _by_language(counts: list[int], words: list[str]) -> dict[str, tuple[float, ...]]:
     """The distribution over kinds of words as each language sees it: other languages' function words are ordinary."""
     total = max(1, sum(counts))
+    words = [w for w in words if w in _ALL_FUNCTION]
     out = {}
     for lang, known in FUNCTION_WORDS.items():
         own = min(counts[0], sum(w in known for w in words))
@@ -146,7 +165,7 @@ def _line_kind(line: str) -> int:
     """Of LINE_KINDS."""
     flat = " ".join(line.split("\n"))
     body = _BULLET.sub("", flat, count=1) if _BULLET.match(flat) else flat
-    counts = _kinds(_URL.sub(" ", body))
+    counts = _kinds(_TOKEN.findall(_URL.sub(" ", body) if "://" in body or "www." in body.lower() else body))
     function, ordinary, implausible, number, symbol, punctuation = counts
     words = function + ordinary + implausible
     total = sum(counts)
@@ -154,7 +173,7 @@ def _line_kind(line: str) -> int:
         return 3
     if not total:
         return 3
-    garbled = len(_GARBLED.findall(flat))
+    garbled = _garbled(flat)
     if implausible > 0.3 * max(1, words) and implausible >= 2 or garbled >= 3 and garbled > 0.03 * len(flat):
         return 3
     cells = len(_CELLS.findall(flat))
@@ -191,10 +210,11 @@ def describe(text: str | None, lang: str | None = None) -> dict:
     by_line = [0.0] * 4
     for line in lines:
         by_line[_line_kind(line)] += len(line)
-    counts = _kinds(text)
+    tokens = _TOKEN.findall(text)
+    counts = _kinds(tokens)
     n_tokens, size = max(1, sum(counts)), max(1.0, sum(by_line))
-    words = [w.lower() for w in _TOKEN.findall(text) if w[0].isalpha()]
-    garbled = len(_GARBLED.findall(text))
+    words = [w.lower() for w in tokens if w[0].isalpha()]
+    garbled = _garbled(text)
     if garbled >= 3 and garbled > 0.05 * len(text):
         by_line = [0.0, 0.0, 0.0, size]
     p, q = tuple(c / n_tokens for c in counts), tuple(x / size for x in by_line)
@@ -205,15 +225,16 @@ def describe(text: str | None, lang: str | None = None) -> dict:
         if d < distance:
             best, distance = name, d
     known = FUNCTION_WORDS.get((lang or "").lower(), _ALL_FUNCTION)
-    characters = [c for c in text if not c.isspace()]
+    characters = Counter("".join(text.split()))
+    n_characters = max(1, characters.total())
     raw = [x for x in _BREAKS.split(text) if x.strip()]
     return {
         "n_words": len(words),
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": sum(not c.isalnum() for c in characters) / max(1, len(characters)),
+        "symbol_ratio": sum(n for c, n in characters.items() if not c.isalnum()) / n_characters,
         "terminated_lines": sum(_STOP.search(x.strip()) is not None for x in raw) / max(1, len(raw)),
         "common_words": sum(w in known for w in words) / len(words) if words else 0.0,
-        "digit_ratio": sum(c.isdigit() for c in characters) / max(1, len(characters)),
+        "digit_ratio": sum(n for c, n in characters.items() if c.isdigit()) / n_characters,
         "distinct_words": len(set(words)) / len(words) if words else 0.0,
         "profile": best,
         "distance": distance,
