@@ -41,7 +41,7 @@ FUNCTION_WORDS = {
     ),
 }
 _ALL_FUNCTION = frozenset().union(*FUNCTION_WORDS.values())
-_TOKEN = re.compile(r"[^\W_](?:[\w'’\-]*[^\W_])?|[^\w\s]|_")
+_TOKEN = re.compile(r"[^\W_]\w*(?:['’\-]+\w+)*+|[^\w\s]|_")
 _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ]", re.I)
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzß]{6,}", re.I)
 _INNER_CAPITAL = re.compile(r"[a-zà-ÿ][A-ZÀ-Þ]|[A-ZÀ-Þ]{2}[a-zà-ÿ]+[A-ZÀ-Þ]")
@@ -86,6 +86,11 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     return max(0.0, total)
 
 
+def _cells(line: str) -> int:
+    """Borders between the cells of a row."""
+    return len(_CELLS.findall(line)) if "\t" in line or "|" in line or ";" in line or "  " in line else 0
+
+
 def _garbled(text: str) -> int:
     return len(_GARBLED.findall(text)) if not text.isascii() and _SUSPECT.search(text) else 0
 
@@ -144,39 +149,47 @@ def _by_language(counts: list[int], words: list[str]) -> dict[str, tuple[float,
 
 
 def _paragraphs(text: str) -> list[str]:
-    """Lines, with hard-wrapped ones put together again."""
-    out: list[str] = []
+    """Lines, with hard-wrapped ones put together again. Looks at the last line of a paragraph only, so it is linear."""
+    out: list[list[str]] = []
+    size, joinable = 0, False  # of the open paragraph: characters, and whether its last line may go on
     for line in _BREAKS.split(text):
         bare = line.strip()
         if not bare:
-            out.append("")
-        elif (
-            out and len(out[-1]) >= 30 and not _STOP.search(out[-1]) and not _BULLET.match(line) and not _CELLS.search(bare)
-            and not _CELLS.search(out[-1]) and (bare[0].islower() or bare[0].isdigit() or (len(out[-1].rsplit("\n", 1)[-1]) >= 45 and " " in out[-1]))
-            and not _URL.match(bare)
+            joinable = False
+            continue
+        rows = _cells(bare) > 0
+        if (
+            joinable and size >= 30 and not rows and not _BULLET.match(line) and not _URL.match(bare)
+            and (bare[0].islower() or bare[0].isdigit() or (len(out[-1][-1]) >= 45 and " " in out[-1][-1]))
         ):
-            out[-1] += "\n" + bare
+            out[-1].append(bare)
+            size += len(bare) + 1
         else:
-            out.append(bare if not bare.startswith("\t") else line)
-    return [x for x in out if x]
-
-
-def _line_kind(line: str) -> int:
-    """Of LINE_KINDS."""
-    flat = " ".join(line.split("\n"))
-    body = _BULLET.sub("", flat, count=1) if _BULLET.match(flat) else flat
-    counts = _kinds(_TOKEN.findall(_URL.sub(" ", body) if "://" in body or "www." in body.lower() else body))
+            out.append([bare if not bare.startswith("\t") else line])
+            size = len(bare)
+        joinable = not rows and _STOP.search(bare) is None
+    return ["\n".join(x) for x in out]
+
+
+def _line_kind(line: str, counts: list[int] | None = None) -> int:
+    """Of LINE_KINDS. ``counts``: kinds of the words of the whole line, if they are known."""
+    flat = line.replace("\n", " ")
+    bullet = _BULLET.match(flat)
+    body = flat[bullet.end() :] if bullet else flat
+    linked = "://" in body or "www." in body.lower()
+    if bullet or linked or counts is None:
+        counts = _kinds(_TOKEN.findall(_URL.sub(" ", body) if linked else body))
     function, ordinary, implausible, number, symbol, punctuation = counts
     words = function + ordinary + implausible
     total = sum(counts)
-    if _URL.search(flat) and words <= 4:
+    if linked and words <= 4 and _URL.search(flat):
         return 3
     if not total:
         return 3
     garbled = _garbled(flat)
     if implausible > 0.3 * max(1, words) and implausible >= 2 or garbled >= 3 and garbled > 0.03 * len(flat):
         return 3
-    cells = len(_CELLS.findall(flat))
+    cells = _cells(flat)
     if cells >= 2 and words + number and not _CODE.search(flat) and (function < 0.12 * total or cells >= 0.25 * words):
         return 2
     if symbol > 0.25 * total or (words == 0 and number == 0):
@@ -207,13 +220,14 @@ def describe(text: str | None, lang: str | None = None) -> dict:
     lines = _paragraphs(text)
     if not lines:
         return zero
-    by_line = [0.0] * 4
+    by_line, counts, words = [0.0] * 4, [0] * 6, []
     for line in lines:
-        by_line[_line_kind(line)] += len(line)
-    tokens = _TOKEN.findall(text)
-    counts = _kinds(tokens)
+        tokens = _TOKEN.findall(line)
+        own = _kinds(tokens)
+        by_line[_line_kind(line, own)] += len(line)
+        counts = [a + b for a, b in zip(counts, own)]
+        words += [w.lower() for w in tokens if w[0].isalpha()]
     n_tokens, size = max(1, sum(counts)), max(1.0, sum(by_line))
-    words = [w.lower() for w in tokens if w[0].isalpha()]
     garbled = _garbled(text)
     if garbled >= 3 and garbled > 0.05 * len(text):
         by_line = [0.0, 0.0, 0.0, size]
