@@ -15,7 +15,7 @@ from siltloom.config import SiteConfig
 from siltloom.functions.css import SelectorError, first, select
 from siltloom.functions.html import parse
 from siltloom.functions.urls import resolve, starts_with_any
-from siltloom.session import bound_arrow, cut
+from siltloom.session import bound_arrow, cut, spread
 
 LINK_SCHEME = "https://"
 
@@ -52,7 +52,7 @@ def extract_links(pages: DataFrame, section: str, selector: str) -> DataFrame:
             links = [links_of(h if isinstance(h, str) else None, u, section, selector) for u, h in zip(pdf["url"], pdf["html"])]
             yield pd.DataFrame({"url": pdf["url"], "links": pd.Series(links, index=pdf.index, dtype="object")})
 
-    return pages.select("url", "html").mapInPandas(run, "url string, links array<string>")
+    return spread(pages.select("url", "html")).mapInPandas(run, "url string, links array<string>")
 
 
 def explode_links(pages: DataFrame, section: str, selector: str) -> DataFrame:

@@ -14,7 +14,7 @@ from siltloom.functions.css import SelectorError, first
 from siltloom.functions.html import Node, parse
 from siltloom.functions.instants import readings
 from siltloom.functions.text import TRIM, truncate_field
-from siltloom.session import bound_arrow
+from siltloom.session import bound_arrow, spread
 
 MAX_BYTES = 2_000_000
 #: Where the body text is looked for, in order. Fixed values.
@@ -122,7 +122,7 @@ def dom_pass(pages: DataFrame, config: SiteConfig, need_body: bool = True) -> Da
             out = pd.DataFrame([one(u, h) for u, h in zip(pdf["url"], pdf["html"])], columns=[c.split()[0] for c in RAW.split(", ")])
             yield out.astype({"date_us": "Int64", "failed": bool})
 
-    return guard(pages).select("url", "html").mapInPandas(run, RAW)
+    return spread(guard(pages).select("url", "html")).mapInPandas(run, RAW)
 
 
 def teaser_columns(raw: DataFrame, config: SiteConfig) -> DataFrame:

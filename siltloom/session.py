@@ -96,3 +96,14 @@ def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFram
 
     df = cut(df, name)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for a pass that costs far more than its rows' transport.
+
+    Inputs that already have enough partitions, as all large ones do, are left as they are and not shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
