@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltloom.functions.html import page_lines
-from siltloom.session import bound_arrow, cut, small_side
+from siltloom.session import bound_arrow, cut, small_side, spread
 
 MIN_ROWS = 5
 MIN_SHARE = 0.3
@@ -38,7 +38,7 @@ def lines_table(pages: DataFrame) -> DataFrame:
             pdf["lines"] = pd.Series(lines, index=pdf.index, dtype="object")
             yield pdf.drop(columns="html")
 
-    return pages.select(
+    return spread(pages).select(
         "page_id", "sp_source", F.xxhash64("html").alias("doc_hi"), F.xxhash64(F.lit(1), "html").alias("doc_lo"), F.to_date("fetched_at").alias("day"), "html"
     ).mapInPandas(run, "page_id bigint, sp_source string, doc_hi bigint, doc_lo bigint, day date, lines array<string>")
 

@@ -18,7 +18,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from siltloom.session import bound_arrow
+from siltloom.session import bound_arrow, spread
 
 #: The commonest function words of the languages. Fixed values.
 FUNCTION_WORDS = {
@@ -272,7 +272,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return documents.select("doc_id", "text", "lang").mapInPandas(run, SCHEMA)
+    return spread(documents.select("doc_id", "text", "lang")).mapInPandas(run, SCHEMA)
 
 
 def not_prose(documents: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltloom.session import bound_arrow
+from siltloom.session import bound_arrow, spread
 
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
@@ -187,4 +187,4 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = NAME, only_co
                     value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), value], names=["doc_id", "n_tokens" if only_count else "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint" if only_count else "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_tokens bigint" if only_count else "doc_id bigint, ids array<int>")
