@@ -90,3 +90,21 @@ def fetch_live(urls: DataFrame, config: SiteConfig, make_send: Callable[[str], C
 
     host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
     return urls.select("url").repartition(host).mapInPandas(run, RESPONSES)
+
+
+class RobotsTexts:
+    """robots.txt by url, loaded once each; a failed load is kept as None, which allows everything."""
+
+    def __init__(self, load: Callable[[str], str]):
+        self.load = load
+        self.known: dict[str, str | None] = {}
+
+    def get(self, url: str | None) -> str | None:
+        if not url:
+            return None
+        if url not in self.known:
+            try:
+                self.known[url] = self.load(url).strip()
+            except Exception:  # an unreadable robots.txt forbids nothing
+                self.known[url] = None
+        return self.known[url]

@@ -9,7 +9,7 @@ from siltloom.operators.index import Index, documents
 from siltloom.operators.score import relevant
 from siltloom.plans.pipeline import extract_teasers, run_all, run_site, teasers_of
 from siltloom.schemas import DOCUMENTS, TEASERS
-from siltloom.sources.fetch import Response, Throttle, backoff_schedule, next_wait, request
+from siltloom.sources.fetch import Response, RobotsTexts, Throttle, fetch_live, backoff_schedule, next_wait, request
 from siltloom.sources.pages import fetch_pages, successful
 
 B = "https://example.com"
@@ -183,3 +183,53 @@ def test_run_site_and_batch(spark, tmp_path):
     assert run_all(spark, {}, str(tmp_path), pages, index) == 0
     assert run_all(spark, {"sites": [{"siteKey": ""}]}, str(tmp_path), pages, index) == 1
     assert run_all(spark, {"sites": [{"siteKey": "none"}]}, str(tmp_path), pages, index) == 1
+
+
+def test_robots_texts_are_kept():
+    asked = []
+
+    def load(url):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError
+        return " User-agent: * "
+
+    texts = RobotsTexts(load)
+    assert [texts.get(u) for u in ("a", "a", "bad", "bad", None)] == ["User-agent: *"] * 2 + [None] * 3 and asked == ["a", "bad"]
+
+
+def test_live_fetch_keeps_hosts_together(spark):
+    def sender(agent):
+        def send(url):
+            if "boom" in url:
+                raise ValueError(agent)
+            return Response(200, {"Retry-After": "7"}, f"{agent} {url}")
+
+        return send
+
+    df = urls(spark, f"{B}/1", f"{B}/2", "https://other.example/1", f"{B}/boom", "nohost")
+    got = {r["url"]: r for r in fetch_live(df, site(user_agent="me"), sender).collect()}
+    assert len(got) == 5 and got[f"{B}/1"]["body"] == f"me {B}/1" and got[f"{B}/1"]["retry_after"] == "7"
+    assert got[f"{B}/boom"]["status"] is None and got[f"{B}/boom"]["error"] == "me"
+    assert successful(spark.createDataFrame(list(got.values()))).count() == 4
+
+
+def test_robots_in_a_run(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/r")
+    pages = page(spark, (f"{B}/", '<div id=content><a href="/a">a</a><a href="/x/b">b</a></div>'), (f"{B}/a", "<h1>A</h1>"), (f"{B}/x/b", "<h1>B</h1>"))
+    config = site(start_urls=((f"{B}/", 0),), title=FieldSpec(True, css=("h1",)), respect_robots_txt=True, robots_url=f"{B}/robots.txt")
+    assert run_site(spark, config, pages, index, "User-agent: *\nDisallow: /x") == (1, 1, 0)
+    assert run_site(spark, config, pages, index, None) == (2, 2, 0)
+
+
+def test_streaming_processes_each_page_once(spark, tmp_path):
+    from siltloom.streaming.incremental import page_stream, stream_teasers
+
+    config = site(title=FieldSpec(True, css=("h1",)))
+    rows = spark.createDataFrame([(1, "u1", "s", "<h1>A</h1>", None)], "page_id bigint, url string, sp_source string, html string, fetched_at timestamp")
+    rows.write.parquet(f"file://{tmp_path}/in", mode="append")
+    for more in (False, True):
+        if more:
+            rows.withColumn("url", F.lit("u2")).write.parquet(f"file://{tmp_path}/in", mode="append")
+        stream_teasers(page_stream(spark, f"file://{tmp_path}/in"), config, f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    assert sorted(r["url"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["u1", "u2"]
