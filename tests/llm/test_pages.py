@@ -111,3 +111,12 @@ def test_repeated_lines_against_brute_force(spark):
     stripped = {r["page_id"]: r["text"] for r in strip_repeated(df).collect()}
     assert len(stripped) == len(rows) and all("Impressum" not in x for x in stripped.values())
     assert repeated_lines(pages(spark)).count() == 0 and strip_repeated(pages(spark)).count() == 0
+
+
+def test_spellings_of_site_names(spark, sites):
+    from siltloom.llm.residue import _registry_names
+
+    more = spark.createDataFrame([("Muehlstaedtel",), (None,), ("Saltwick_Norrey",)], "site_key string")
+    names = _registry_names(more)
+    assert {"Mühlstädtel", "Muehlstaedtel", "Saltwick-Norrey"} <= set(names)
+    assert title_is_residue("{{title}} | Mühlstädtel", names) and not title_is_residue("Mühlstädtel | Wochenmarkt", names)
