@@ -105,5 +105,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df  # the outcome of a shuffle, whose partitions are only known once it has run
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
