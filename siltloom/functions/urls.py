@@ -160,7 +160,7 @@ def rewrite_any(url: Column, names: tuple[str, ...] | None = None) -> Column:
 
         return values.map(one)
 
-    return run(url)
+    return run.asNondeterministic()(url)  # else filters on the result would run it twice
 
 
 def starts_with_any(c: Column, prefixes: tuple[str, ...]) -> Column:

@@ -92,7 +92,10 @@ def test_extract_cases(spark):
 
 def test_one_python_pass(spark):
     plan = teasers_of(page(spark, ("1", "")), EXTRACT)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInPandas") == 1
+    assert plan.count("MapInPandas") == 1 and plan.count("ArrowEvalPython") == 1
+    config = site(allow_prefixes=(B,), deny_prefixes=("x",), deny_endings=(".pdf",))
+    plan = U.normalise_urls(urls(spark, B), config)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_guard_is_below_the_pass(spark, data):
