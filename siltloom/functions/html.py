@@ -14,7 +14,9 @@ INLINE = frozenset(("a", "b", "em", "i", "small", "span", "strong"))
 SKIPPED = ("head", "script", "style", "noscript")
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(head|script|style|noscript)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_SKIP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?:head(?=[\s/>])[^>]*>.*?(?:</head\s*>|(?=<body[\s>])|\Z)|(script|style|noscript)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z))", re.I | re.S
+)
 _INLINE_TAG = re.compile(r"</?(?:a|b|em|i|small|span|strong)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[!?][^>]*>)")
 _TOKEN = re.compile(
@@ -38,7 +40,8 @@ def page_lines(page: str | None) -> list[str]:
     """
     if not page:
         return []
-    body = _INLINE_TAG.sub("", _SKIP.sub("", page))
+    # comments are no tags and leave no trace; an element that is left out still parts the lines around it
+    body = _INLINE_TAG.sub("", _SKIP.sub(lambda m: "" if m[0].startswith("<!--") else "<hr>", page))
     out = []
     for piece in _TAG.split(body):
         line = text_of(piece)
