@@ -378,6 +378,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(read_table(spark, d, "index_docs"), read_table(spark, d, "run_status"))
 
 
+LINKS_SQL = r"""
+WITH hrefs AS (
+  SELECT url AS src_url, replace(unnest(regexp_extract_all(html, '<a href="?([^">]*)"?>', 1)), '&amp;', '&') AS href
+  FROM pages_in WHERE html IS NOT NULL AND html NOT IN ('', '0') AND strlen(html) <= 2000000
+), links AS (
+  SELECT src_url, CASE WHEN starts_with(href, '/') THEN regexp_extract(src_url, '^(https://[^/?#]+)', 1) || href ELSE href END AS dst_url FROM hrefs
+)
+SELECT dst_url, count(*) AS n_links, count(DISTINCT src_url) AS n_pages FROM links WHERE starts_with(dst_url, 'https://') GROUP BY dst_url
+"""
+
 P7_SQL = """
 WITH runs AS (
   SELECT crawl_process_id, sp_source, row_number() OVER (PARTITION BY sp_source ORDER BY started_at, crawl_process_id) AS run_no
@@ -473,6 +483,7 @@ def oracle_sql() -> dict[str, str]:
         "url_pipeline": f"SELECT url FROM ({piped}) UNION SELECT url FROM ({forced})",
         "robots_filter": f"SELECT ord, url FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.]*://[^/?#]*([^#]*)', 1) AS p FROM ({first})) WHERE {_ROBOTS_RULES}",
         "robots_unavailable": first,
+        "links_distinct": LINKS_SQL,
         "fetch_join": "SELECT url, strlen(min(html)) AS n_bytes FROM pages_in WHERE url IN (SELECT url FROM teasers_raw) GROUP BY url",
         "fetch_status_filter": _values("url, html", [("https://h.example/1", "ok"), ("https://h.example/3", "edge")]),
         "fetch_chunks": "SELECT page_id AS ord, url, page_id // 3 AS chunk FROM pages_in",
