@@ -2,9 +2,9 @@
 
 Method: composite text density. For each element of the tree the characters per tag are computed and
 adjusted for links; the densities of an element's children are summed, and the subtree with the largest
-sum is the body, with the smallest density on its path to ``body`` as threshold. An exact check follows:
-the subtree is set to the block that holds the headline, and lines that are bylines, dates, prompts,
-notices and the like are left out wherever they stand.
+sum is the body. The smallest density of its ancestors is the threshold for other blocks beside it, and the
+body must reach it too. The subtree is extended to the block of the headline, wherever that stands, and
+lines that are bylines, dates, prompts, notices and the like are left out; they take no part in the densities.
 
 Everything about one page happens in one Python pass; nothing is shuffled.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -71,10 +72,13 @@ _JUNK_PATTERNS = [
 _JUNK = re.compile(r"(?i)(?:" + "|".join(f"(?:{p})" for p in _JUNK_PATTERNS) + r")")
 
 
+#: Blocks that must reach the threshold to be body beside the densest subtree; lists and quotes belong to theirs.
+_BOXES = frozenset(("div", "section", "article", "main", "table", "tbody", "tr", "td", "header"))
 #: A box of another kind than the page's paragraphs is body only from this length on.
 SHORT_BOX = 45
 
 
+@lru_cache(maxsize=8192)
 def is_junk(line: str) -> bool:
     """Is the line a byline, a date, a prompt or a notice?"""
     return len(line) <= 240 and _JUNK.fullmatch(line) is not None
@@ -115,10 +119,21 @@ def _links_only(node: Node) -> bool:
     return True
 
 
-def densities(body: Node) -> tuple[Node, float]:
-    """(subtree with the largest sum of its children's composite densities, threshold on its path).
+def _is_junk_block(node: Node, title: str) -> bool:
+    """A block of one line that is left out wherever it stands; headlines are none."""
+    if node.tag in _HEADS or node.tag in INLINE or node.attrs_src and "hl" in node.attrs_src:
+        return False
+    if any(k.tag not in INLINE for k in node.walk() if k is not node):
+        return False
+    text = node.text()
+    return text != title and is_junk(text)
+
+
+def densities(body: Node, title: str = "") -> tuple[Node, float]:
+    """(subtree with the largest sum of its children's composite densities, smallest density of its ancestors).
 
-    Blocks that are left out anyway take no part. ``stat`` of every element is set to
+    Blocks and lines that are left out anyway take no part. A subtree that is sparser than all its ancestors is
+    a heap of scattered blocks and no body. ``stat`` of every element is set to
     [chars, tags, link chars, link tags, density, sum of densities, kept].
     """
     order = []
@@ -149,6 +164,8 @@ def densities(body: Node) -> tuple[Node, float]:
                 s[1] += t[1] + 1
                 s[2] += t[2]
                 s[3] += t[3] + (k.tag == "a")
+        if 0 < s[0] <= 240 and _is_junk_block(node, title):
+            s[0] = s[2] = 0
     chars, link_chars = max(1, body.stat[0]), body.stat[2]
     for node, _ in order:
         c, t, lc, lt = node.stat[:4]
@@ -157,23 +174,48 @@ def densities(body: Node) -> tuple[Node, float]:
         t1, lc1, lt1 = max(1, t), max(1, lc), max(1, lt)
         base = math.log(c / max(1, c - lc) * lc + link_chars / chars * c + math.e)
         node.stat[4] = c / t1 * math.log(max(1.0001, c / lc1 * t1 / lt1)) / max(1e-9, math.log(base + 1e-9) if base > 1.0000001 else 1.0)
+    least = {id(body): math.inf}
     best, most = body, -1.0
     for node, _ in order:
         if node.stat[6]:
             total = 0.0
+            below = min(least[id(node)], node.stat[4])
             for k in node.kids:
-                if not isinstance(k, str) and k.stat[6] and k.tag not in INLINE:
-                    total += k.stat[4]
+                if not isinstance(k, str) and k.stat[6]:
+                    least[id(k)] = below
+                    if k.tag not in INLINE:
+                        total += k.stat[4]
             node.stat[5] = total
-            if total > most:
+            if total > most and (node is body or node.stat[4] >= least[id(node)]):
                 best, most = node, total
-    threshold, node = best.stat[4], best
-    while node is not None and node.stat is not None:
-        threshold = min(threshold, node.stat[4]) if node.stat[4] else threshold
-        if node is body:
-            break
+    return best, 0.0 if best is body else least[id(best)]
+
+
+def _path(node: Node, body: Node) -> list[Node]:
+    """The element and its ancestors, up to ``body``."""
+    out = [node]
+    while node is not body and node.parent is not None:
         node = node.parent
-    return best, threshold
+        out.append(node)
+    return out
+
+
+def _leave_sparse(source: Node, ends: tuple[Node, ...], body: Node, threshold: float) -> None:
+    """Marks blocks in ``source`` beside the subtrees ``ends`` as not kept that are below the threshold."""
+    inner = {id(x) for x in ends}
+    way = {id(x) for end in ends for x in _path(end, body)} - inner
+    todo = [source]
+    while todo:
+        node = todo.pop()
+        if id(node) not in way:
+            continue
+        for k in node.kids:
+            if isinstance(k, str) or id(k) in inner or not k.stat[6]:
+                continue
+            if id(k) in way:
+                todo.append(k)
+            elif k.tag in _BOXES and k.stat[1] and k.stat[4] < threshold:
+                k.stat[6] = None
 
 
 def _lines_of(node: Node, skip_links: bool, after: Node | None) -> list[list]:
@@ -216,7 +258,7 @@ def _lines_of(node: Node, skip_links: bool, after: Node | None) -> list[list]:
             continue
         flush(block)
         if x.stat is None or not x.stat[6]:
-            if started and after is not None and x.parent is node and x.tag in ("div", "section", "article", "aside", "footer", "td"):
+            if started and after is not None and x.stat is not None and x.stat[6] is False and x.parent is node and x.tag in ("div", "section", "article", "aside", "footer", "td"):
                 return out
             continue
         if skip_links and x.tag in ("ul", "ol") and _links_only(x):
@@ -237,7 +279,7 @@ def main_lines(page: str) -> tuple[list[Line], list[str]]:
         elif node.tag == "body":
             body = node
             break
-    best, threshold = densities(body)
+    best, threshold = densities(body, title)
     head, named = None, None
     notices = []
     todo = [body]
@@ -262,14 +304,25 @@ def main_lines(page: str) -> tuple[list[Line], list[str]]:
             if top is body or top.parent is None or top.stat[0] > head.stat[0]:
                 break
             head, top = top, top.parent
-        raw = _lines_of(top, False, head)
+        source, after = top, head
+        if best is not top:
+            # the densest subtree, extended to the block of the headline
+            up = _path(top, body)
+            ids = {id(x) for x in up}
+            source = next(x for x in _path(best, body) if id(x) in ids)
+            _leave_sparse(source, (best, top), body, threshold)
+            if source is not top and source is not best:
+                after = next(x for x in source.walk() if x is head or x is best)
+        raw = _lines_of(source, False, after)
+        heads = {id(x) for x in head.walk()}
     else:
-        if best.stat[4] < threshold:
-            best = body
         raw = _lines_of(best, True, None)
+        heads = set()
     lines: list[tuple] = []
-    for i, (text, tag, attrs, wholly_small, block) in enumerate(raw):
-        headline = head is not None and i == 0
+    for text, tag, attrs, wholly_small, block in raw:
+        headline = id(block) in heads
+        if headline:
+            heads.clear()
         if not headline and (wholly_small or is_junk(text)):
             continue
         lines.append((text, tag, attrs, headline, block))

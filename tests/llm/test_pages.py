@@ -1,7 +1,7 @@
 import pytest
 
-from siltloom.functions.html import page_lines
-from siltloom.llm.main_content import is_junk, main_body_lines, main_lines
+from siltloom.functions.html import page_lines, parse
+from siltloom.llm.main_content import densities, is_junk, main_body_lines, main_lines
 from siltloom.llm.repeated_lines import repeated_lines, strip_repeated
 from siltloom.llm.residue import clean_teasers, is_residue, lines_are_residue, residue_cases, title_is_residue
 
@@ -63,6 +63,37 @@ def test_main_body(page):
     assert not lines_are_residue(lines, [])
 
 
+APART = "<title>Neues</title><body><nav>" + NAV + "</nav><div class=w>{}<div class=b2><p>" + PARAGRAPH + "</p><p>" + PARAGRAPH[:60] + "</p></div>{}</div><div class=f><div>© Alpha</div></div>"
+TEASERS = "<div class=t9>" + "".join(f"<div><a href=/t{i}>Thema {i} der Woche</a></div>" for i in range(9)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    ("head", "after", "expected"),
+    [
+        ("<header><h1>Neues</h1><p>Von der Redaktion Alpha</p></header>", "", ["Neues", PARAGRAPH, PARAGRAPH[:60]]),
+        ("<header><h1>Neues</h1><p>Ein Vorspann zum Foyer</p></header>", "", ["Neues", "Ein Vorspann zum Foyer", PARAGRAPH, PARAGRAPH[:60]]),
+        ("<div class=h><div>Neues</div><p>Ein Vorspann zum Foyer</p></div>", TEASERS, ["Neues", "Ein Vorspann zum Foyer", PARAGRAPH, PARAGRAPH[:60]]),
+    ],
+)
+def test_densest_subtree_gives_the_lines(head, after, expected):
+    lines, _ = main_lines(APART.format(head, after))
+    assert [x.text for x in lines] == expected and [x.headline for x in lines] == [True] + [False] * (len(expected) - 1)
+
+
+def test_threshold_is_of_the_ancestors():
+    heap = parse("<body><div class=heap>" + "<div>zehn Buchst</div>" * 100 + "</div><p>" + "Wort " * 60 + "</p></body>")
+    body = next(x for x in heap.walk() if x.tag == "body")
+    best, _ = densities(body)
+    assert body.kids[0].stat[4] < body.stat[4] and body.kids[0].stat[5] > body.stat[5] and best is body
+    page = parse(APART.format("<h1>Neues</h1>", TEASERS))
+    body = next(x for x in page.walk() if x.tag == "body")
+    best, threshold = densities(body)
+    above = [best.parent]
+    while above[-1] is not body:
+        above.append(above[-1].parent)
+    assert best.attrs.get("class") == "b2" and threshold == min(x.stat[4] for x in above) and best.stat[4] > threshold
+
+
 def test_junk_lines():
     for x in ("Last updated: 01.02.2023", "Par la rédaction de Alpha", "Words and pictures: Alpha Council", "Abonnez-vous à la lettre d'information de Alpha chaque vendredi.", "Mairie de Alpha, 36 rue du Moulin, tél. 0000 50067", "Accept all"):
         assert is_junk(x)
