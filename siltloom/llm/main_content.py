@@ -218,12 +218,26 @@ def _leave_sparse(source: Node, ends: tuple[Node, ...], body: Node, threshold: f
                 k.stat[6] = None
 
 
+def _heads_block(node: Node) -> bool:
+    """Is the first heading of the block one of related items or comments?"""
+    head = next((k for k in node.walk() if k.tag in _HEADS or k.tag in ("strong", "b")), None)
+    return head is not None and _BLOCK_HEAD.fullmatch(head.text()) is not None
+
+
+def _body_like(text: str, tag: str, wholly_small: bool) -> bool:
+    """Does the line show that the body goes on?"""
+    sentence = tag in ("p", "li", "blockquote") and text.rstrip("\"'”“»’)").endswith((".", "!", "?", "…"))
+    return (len(text) >= SHORT_BOX or sentence) and tag not in _HEADS and not wholly_small and not is_junk(text)
+
+
 def _lines_of(node: Node, skip_links: bool, after: Node | None) -> list[list]:
     """Lines below ``node``: [text, tag, class, wholly small, element]; what is not kept is left out.
 
     With ``after`` the lines begin at that element, and end at the first block with a heading of related
-    items or comments that stands directly in ``node``.
+    items or comments that stands directly in ``node``. They go on after other blocks that are left out, as
+    far as lines follow that may be body.
     """
+    edges: list[int] = []
     out: list[list] = []
     parts: list[str] = []
     small = [0, 0]
@@ -258,14 +272,18 @@ def _lines_of(node: Node, skip_links: bool, after: Node | None) -> list[list]:
             continue
         flush(block)
         if x.stat is None or not x.stat[6]:
-            if started and after is not None and x.stat is not None and x.stat[6] is False and x.parent is node and x.tag in ("div", "section", "article", "aside", "footer", "td"):
-                return out
+            if started and after is not None and x.parent is node and x.tag in ("div", "section", "article", "aside", "footer", "td"):
+                if _heads_block(x):
+                    break
+                edges.append(len(out))
             continue
         if skip_links and x.tag in ("ul", "ol") and _links_only(x):
             continue
         todo.append((1, x, block, False))
         todo.extend((0, k, x, False) for k in reversed(x.kids))
     flush(node)
+    while edges and not any(_body_like(x[0], x[1], x[3]) for x in out[edges[-1] :]):
+        del out[edges.pop() :]
     return out
 
 

@@ -80,6 +80,16 @@ def test_densest_subtree_gives_the_lines(head, after, expected):
     assert [x.text for x in lines] == expected and [x.headline for x in lines] == [True] + [False] * (len(expected) - 1)
 
 
+def test_lines_go_on_after_a_left_out_box():
+    last = PARAGRAPH.replace("Foyer", "Saal")
+    page = f"<body><nav>{NAV}</nav><article><h1>Neues</h1><p>{PARAGRAPH}</p>{{}}<p>{last}</p>{{}}<p>Kurz.</p><aside>{RELATED}</aside><p>Nicht mehr dabei, denn der Text endet vor diesem Kasten.</p></article>"
+    share, consent = "<div class=share-bar><p>Senden Sie es weiter an alle.</p></div>", "<div class=cookie-banner><p>Wir zeigen hier nichts an.</p></div>"
+    for a, b in ((share, "<aside>Ein Kasten am Rand</aside>"), ("<section class=newsletter><p>x</p></section>", consent)):
+        assert [x.text for x in main_lines(page.format(a, b))[0]] == ["Neues", PARAGRAPH, last, "Kurz."]
+    foot = f"<body><article><h1>Neues</h1><p>{PARAGRAPH}</p><aside>Ein Kasten</aside><div>Seite 1</div></article>"
+    assert [x.text for x in main_lines(foot)[0]] == ["Neues", PARAGRAPH]
+
+
 def test_threshold_is_of_the_ancestors():
     heap = parse("<body><div class=heap>" + "<div>zehn Buchst</div>" * 100 + "</div><p>" + "Wort " * 60 + "</p></body>")
     body = next(x for x in heap.walk() if x.tag == "body")
