@@ -29,8 +29,10 @@ class Line(NamedTuple):
     text: str
     tag: str
     headline: bool
+    code: bool = False
 
 
+_CODE_TAGS = frozenset(("pre", "code", "kbd", "samp"))
 _HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _DROP_TAGS = frozenset(("nav", "aside", "footer", "button", "form", "script", "style", "noscript", "head", "template", "svg", "select", "textarea", "iframe", "dialog"))
 #: Roles, classes and ids of blocks around the body. Fixed values.
@@ -287,6 +289,14 @@ def _lines_of(node: Node, skip_links: bool, after: Node | None) -> list[list]:
     return out
 
 
+def _in_code(node: Node | None) -> bool:
+    while node is not None:
+        if node.tag in _CODE_TAGS:
+            return True
+        node = node.parent
+    return False
+
+
 def main_lines(page: str) -> tuple[list[Line], list[str]]:
     """(lines of the main body, texts of ``noscript`` in the body outside of what surrounds it)."""
     root = parse(page)
@@ -353,7 +363,7 @@ def main_lines(page: str) -> tuple[list[Line], list[str]]:
     if kinds:
         main_kind = max(kinds, key=kinds.get)
         lines = [x for x in lines if x[3] or x[1] != "div" or main_kind == ("div", x[2]) or len(x[0]) >= SHORT_BOX]
-    return [Line(t, tag, headline) for t, tag, _, headline, _ in lines], notices
+    return [Line(t, tag, headline, _in_code(block)) for t, tag, _, headline, block in lines], notices
 
 
 def main_text(pages: DataFrame, drop=None, distinct: bool = False) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Method: every delimiter of placeholders has its own grammar; a text is residue when placeholders make up
 its words (density), while tutorials and explanations that only mention one are discounted by the words
-around it. Filler is told by the share of filler words; error messages and script notices by patterns
-that must cover the text, so that a sentence that quotes a message is not one.
+around it, in the line and in the lines beside it, and listings of code count only where nothing else is.
+Filler is told by the share of filler words; error messages and script notices by patterns that must cover
+the text, so that a sentence that quotes a message is not one.
 
 Plain Python on one text; the Spark operators are ``residue_teasers`` and ``residue_pages``.
 """
@@ -92,7 +93,6 @@ _HELP = re.compile(
 _SEPARATED = re.compile(r"\s+[|–—·»-]\s+|\s*[|»·]\s*|:\s+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W_]+")
-_CODE = re.compile(r"(?is)<(?:pre|code|kbd|samp)\b.*?</(?:pre|code|kbd|samp)>")
 
 
 def placeholder_share(text: str) -> tuple[int, int]:
@@ -175,17 +175,19 @@ def lines_are_residue(lines: list[Line], aside: list[str] = (), names: Iterable[
     heads = [x for x in lines if x.headline]
     if not lines:
         return any(is_residue(x, names, whole=False) for x in aside)
-    bad = good = 0
-    for x in body:
-        if _HELP.fullmatch(x.text):
-            continue
-        size = len(x.text)
-        if is_residue(x.text, names, whole=False):
-            bad += size
-        else:
-            good += size
-    if bad or good:
-        return bad > good
+    bad = [is_residue(x.text, names, whole=False) for x in body]
+    explains = [any(bad) and not b and not x.code and _TUTORIAL.search(x.text) is not None for b, x in zip(bad, body, strict=True)]
+    # listings count only where nothing else is
+    for listings in (False, True):
+        share = [0, 0]
+        for i, x in enumerate(body):
+            if x.code is not listings or _HELP.fullmatch(x.text):
+                continue
+            if bad[i] and any(explains[max(0, i - 1) : i + 2]) and _PLACE.search(x.text):
+                continue
+            share[bad[i]] += len(x.text)
+        if any(share):
+            return share[1] > share[0]
     return any(title_is_residue(x.text, names) for x in heads)
 
 

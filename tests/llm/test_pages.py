@@ -90,6 +90,17 @@ def test_lines_go_on_after_a_left_out_box():
     assert [x.text for x in main_lines(foot)[0]] == ["Neues", PARAGRAPH]
 
 
+def test_listings_of_tutorials_are_no_residue():
+    listing = "".join(f"<{{0}}>{{{{{{{{ field_{i} }}}}}}}} {{{{{{{{ value_{i} }}}}}}}}</{{0}}>" for i in range(30))
+    page = "<body><article><h1>Briefe</h1><p>Der Brief wird in wenigen Schritten erstellt.</p>{}</article>"
+    for tag in ("pre", "code", "kbd", "samp"):
+        assert not lines_are_residue(*main_lines(page.format(listing.format(tag))))
+    assert not lines_are_residue(*main_lines(page.format("<p>Der Text nennt die Platzhalter.</p><p>{{ vorname }} {{ nachname }} {{ strasse }} {{ hausnummer }} {{ plz }} {{ ort }}</p>")))
+    assert lines_are_residue(*main_lines(page.format(listing.format("p"))))
+    assert lines_are_residue(*main_lines("<body><article><h1>Kurs</h1><pre>Traceback (most recent call last): x</pre></article>"))
+    assert lines_are_residue(*main_lines("<body><article><h1>Kurs für Anfänger</h1><p>{{ text }}</p></article>"))
+
+
 def test_threshold_is_of_the_ancestors():
     heap = parse("<body><div class=heap>" + "<div>zehn Buchst</div>" * 100 + "</div><p>" + "Wort " * 60 + "</p></body>")
     body = next(x for x in heap.walk() if x.tag == "body")
