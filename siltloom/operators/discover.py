@@ -60,21 +60,27 @@ def explode_links(pages: DataFrame, section: str, selector: str) -> DataFrame:
     return extract_links(pages, section, selector).select(F.col("url").alias("src_url"), F.posexplode("links").alias("pos", "dst_url"))
 
 
-def discover(pages: DataFrame, config: SiteConfig, on_missing: str = "fail") -> DataFrame:
+def discover(pages: DataFrame, config: SiteConfig, on_missing: str = "fail", starts: DataFrame | None = None) -> DataFrame:
     """``ord, url``: links in the order a queue finds them, from every start url down to its depth.
 
     Links found on pages of the last level are given but not expanded; a url is expanded once a start, at its
     first place. At most ``max_teaser`` links a start count, equal ones included. A missing page fails the step,
     or gives no links with ``on_missing="skip"``; of several rows of one url the first (smallest html) is taken.
+    ``starts`` (``start, url, max_depth``; start is a number below 2^31) stands in for the configured start urls where there are many.
     """
     spark = pages.sparkSession
-    starts = spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate(config.start_urls)], "start int, url string, max_depth int") if config.start_urls else None
-    if starts is None:
+    if starts is not None:
+        starts = cut(starts.select(F.col("start").cast("int"), "url", F.col("max_depth").cast("int")), "bfs-starts")
+        deepest = starts.agg(F.max("max_depth")).head()[0]
+    elif config.start_urls:
+        starts = spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate(config.start_urls)], "start int, url string, max_depth int")
+        deepest = max(d for _, d in config.start_urls)
+    if starts is None or deepest is None:
         return spark.createDataFrame([], "ord bigint, url string")
     one_page = pages.select("url", "html").groupBy("url").agg(F.min("html").alias("html"))
     wanted = starts.select("start", "url", "max_depth", F.array().cast("array<int>").alias("path"))
     frontier, seen, found = wanted, wanted.select("start", "url"), None
-    depth, deepest = 0, max(d for _, d in config.start_urls)
+    depth = 0
     while True:
         expanded = one_page.join(frontier.select("url").distinct(), "url", "left_semi")
         links = extract_links(expanded, config.link_section, config.link_selector)

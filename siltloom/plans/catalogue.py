@@ -353,6 +353,39 @@ def site_run(spark: SparkSession, d: str) -> DataFrame:
     return index.read("g").select("id", "title")
 
 
+#: Links of the whole page count, and no cap is set.
+WHOLE = SITE.with_(link_section="", max_teaser=(1 << 31) - 1)
+
+
+def _all_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's url as a start of depth 1: no base url of a site is in the table, and few pages link to each other."""
+    pages = read_table(spark, d, "pages_in")
+    return pages.groupBy("url").agg(F.min("page_id").alias("start")).select("start", "url", F.lit(1).alias("max_depth"))
+
+
+def bfs_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Links found over the whole table, from every page and the pages it links to."""
+    return discover(read_table(spark, d, "pages_in"), WHOLE, "skip", _all_starts(spark, d))
+
+
+def site_run_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run over the whole table: discovery, urls, fetch, teasers, snapshot."""
+    index = Index(spark, work_folder(spark, "index"))
+    run_site(spark, WHOLE, read_table(spark, d, "pages_in"), index, on_missing="skip", starts=_all_starts(spark, d))
+    return index.read(WHOLE.id).select("id", "title", "sp_intro")
+
+
+def index_replace_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Index.replace over all documents: those of the runs without errors, then those of the others, which replace only what they hold."""
+    docs = read_table(spark, d, "index_docs").withColumn("sp_date", F.lit(None).cast("timestamp"))
+    runs = read_table(spark, d, "run_status").where("errors > 0").select("crawl_process_id")
+    index = Index(spark, work_folder(spark, "index"))
+    index.replace(docs.join(runs, "crawl_process_id", "left_anti"), "all")
+    late = docs.join(runs, "crawl_process_id", "left_semi")
+    index.replace(late, "all", late.where("title is null or sp_intro is null").select("id").distinct())
+    return index.read("all").select("id", "title", "sp_intro")
+
+
 def stream_pages(spark: SparkSession, d: str) -> DataFrame:
     """The pages as a stream that ends when all have been processed."""
     folder = work_folder(spark, "stream")
@@ -412,7 +445,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         url_scheme_filter, url_allow_prefix, url_deny_prefix, url_deny_endings, url_strip_params, url_sanitize_edge, url_ordered_distinct, url_topk, url_forced_union, url_pipeline,
         robots_filter, robots_unavailable, links_all, links_distinct, fetch_join, fetch_status_filter, fetch_chunks, fetch_backoff, page_guard, extract_pages, extract_cascade, extract_dates,
         truncate_40, truncate_uncapped, clean_truncate, clean_text_ws, score_rules, score_filter, score_reasons, score_pages, score_edge, clean_html_golden, index_documents, index_no_date,
-        config_readers, site_pipeline, site_run, stream_pages, p3_found, p3_instants, p7_found,
+        config_readers, site_pipeline, site_run, bfs_pages, site_run_pages, index_replace_docs, stream_pages, p3_found, p3_instants, p7_found,
     )
     return {f.__name__: f for f in plain} | {k: _bfs(n, limit) for k, (n, limit, _) in BFS.items()} | {k: f for k, (f, _) in SNAPSHOTS.items()}
 

@@ -48,9 +48,9 @@ def step(name: str, run: Callable[[], DataFrame], spark: SparkSession, schema: s
     return out
 
 
-def run_site(spark: SparkSession, config: SiteConfig, pages: DataFrame, index: Index, robots_text: str | None = None, on_missing: str = "fail", allow_empty_snapshot: bool = True, date_field: str = "date") -> Status:
+def run_site(spark: SparkSession, config: SiteConfig, pages: DataFrame, index: Index, robots_text: str | None = None, on_missing: str = "fail", allow_empty_snapshot: bool = True, date_field: str = "date", starts: DataFrame | None = None) -> Status:
     """One run: collect urls, fetch, parse, clean, replace the source's snapshot. A failed step goes on with nothing."""
-    urls = step("collect", lambda: final_urls(discover(pages, config, on_missing), config, robots_text), spark, "ord bigint, url string")
+    urls = step("collect", lambda: final_urls(discover(pages, config, on_missing, starts), config, robots_text), spark, "ord bigint, url string")
     teasers = step("teasers", lambda: teasers_of(fetch_pages(urls, pages), config), spark, TEASERS)
     docs = documents(teasers, config.id, new_run_id(), config.intro.present, config.datetime.present, date_field)
     status = index.replace(docs, config.id, None, allow_empty_snapshot)
