@@ -4,7 +4,7 @@ Method: duplicate documents are collapsed first (clusters of equal html within a
 is counted over distinct clusters and publication dates, so that a republished article is not mistaken for
 boilerplate; the rows behind the clusters are counted along, since the cases are defined on rows.
 
-Plan: one Python pass turns a page into its distinct lines, written once to the shared folder. Counting
+Plan: one Python pass turns a page into its lines, written once to the shared folder. Counting
 reads only 64-bit line hashes; texts are read again for the few lines that can be cases, where they are
 counted exactly. Counting aggregates before the shuffle, so a source or line that holds a third of all rows
 is spread; the html itself is never shuffled.
@@ -26,7 +26,7 @@ MAX_SOURCES = 2_000
 
 
 def lines_table(pages: DataFrame) -> DataFrame:
-    """``page_id, sp_source, doc_hi, doc_lo, day, lines``: each page with its distinct lines in order.
+    """``page_id, sp_source, doc_hi, doc_lo, day, lines``: each page with its lines in order.
 
     Pages with null or empty html stay, with no lines, for they count in the total of their source.
     """
@@ -34,7 +34,7 @@ def lines_table(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            lines = [list(dict.fromkeys(page_lines(h))) if isinstance(h, str) else [] for h in pdf["html"]]
+            lines = [page_lines(h) if isinstance(h, str) else [] for h in pdf["html"]]
             pdf["lines"] = pd.Series(lines, index=pdf.index, dtype="object")
             yield pdf.drop(columns="html")
 
@@ -58,7 +58,7 @@ def repeated_lines(pages: DataFrame, min_rows: int = MIN_ROWS, min_share: float
         .agg(F.min("page_id").alias("page_id"), F.min("day").alias("day"), F.count("*").alias("rows"))
         .select("page_id", "day", "rows")
     )
-    hashes = table.where(F.size("lines") > 0).select("page_id", "sp_source", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    hashes = table.where(F.size("lines") > 0).select("page_id", "sp_source", F.transform(F.array_distinct("lines"), lambda x: F.xxhash64(x)).alias("hashes"))
     counted = (
         hashes.join(clusters, "page_id")
         .select("sp_source", "day", "rows", F.explode("hashes").alias("h"))
@@ -76,7 +76,7 @@ def repeated_lines(pages: DataFrame, min_rows: int = MIN_ROWS, min_share: float
         .select(counted["sp_source"], "h", "n_docs", "n_days", "n_total"),
         "p4-likely",
     )
-    texts = table.select("sp_source", F.explode("lines").alias("line_text")).withColumn("h", F.xxhash64("line_text"))
+    texts = table.select("sp_source", F.explode(F.array_distinct("lines")).alias("line_text")).withColumn("h", F.xxhash64("line_text"))
     found = (
         texts.join(likely, _same(texts, likely) & (texts["h"] == likely["h"]))
         .groupBy(texts["sp_source"], "line_text")
@@ -90,7 +90,10 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def strip_repeated(pages: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``page_id, sp_source, text, n_removed``: every page's distinct lines without the repeated ones of its source."""
+    """``page_id, sp_source, text, n_removed``: every page's lines without the repeated ones of its source.
+
+    A line that stands several times in a page is kept, or removed and counted, each time.
+    """
     table = cut(lines_table(pages), "p4-lines")
     bad = small_side(
         repeated_lines(pages, min_rows, min_share, table).groupBy(F.col("sp_source").alias("source")).agg(F.collect_set("line_text").alias("bad")), "p4-bad", MAX_SOURCES

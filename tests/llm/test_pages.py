@@ -165,6 +165,13 @@ def test_repeated_lines_against_brute_force(spark):
     assert repeated_lines(pages(spark)).count() == 0 and strip_repeated(pages(spark)).count() == 0
 
 
+def test_lines_that_stand_twice_stay(spark):
+    rows = [("s_a", f"<p>Impressum</p><p>Satz {i}</p><p>Refrain {i}</p><p>Satz {i}</p><p>Impressum</p>") for i in range(6)]
+    got = {r["page_id"]: (r["text"], r["n_removed"]) for r in strip_repeated(pages(spark, *rows)).collect()}
+    assert got == {i + 1: (f"Satz {i}\nRefrain {i}\nSatz {i}", 2) for i in range(6)}
+    assert [(r["line_text"], r["n_rows"]) for r in repeated_lines(pages(spark, *rows)).collect()] == [("Impressum", 6)]
+
+
 def test_spellings_of_site_names(spark, sites):
     from siltloom.llm.residue import _registry_names
 
