@@ -96,6 +96,8 @@ def test_ambiguous_readings():
     assert len(both) == 2 and not any(x.certain for x in both)
     assert len(readings("05/04/2020", "UTC", None)) == 2 and len(readings("05/05/2020", "UTC", None)) == 1
     assert [x.utc_us for x in readings("05/04/2020", "UTC", "mdy")] == [1588550400000000]
+    long = "Donnerstag, den 12. September 2024 um 10:00:00.123456789 Uhr GMT+02:00 [America/Argentina/ComodRivadavia]"
+    assert len(long) > 80 and [x.utc_us for x in readings(long, "UTC", "dmy")] == [1726128000123456]
     assert readings("2020-01-01 10:00", None, "dmy") == []
 
 
