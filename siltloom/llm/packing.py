@@ -34,6 +34,8 @@ COLUMNS = "container_kind string, container_id bigint, doc_id bigint, part_no in
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int | None = None, max_loss: int | None = None) -> np.ndarray:
     """The container (0, 1, ...) of each item. No item may exceed a limit by itself."""
     n = len(tokens)
+    if n and (tokens.max() > capacity or max_loss is not None and loss.max() > max_loss):
+        raise ValueError("an item exceeds a limit by itself")
     limits = np.array([capacity, max_segments or max(1, capacity), max_loss or max(1, capacity)], float)
     order = np.lexsort((loss, tokens))[::-1]
     vectors = np.stack([tokens[order], np.ones(n), loss[order]], axis=1).astype(float)
@@ -147,6 +149,11 @@ def document_items(documents: DataFrame, folder: str = FOLDER, name: str = NAME)
     return encode(documents, folder, name, only_count=True).withColumn("n_loss", F.col("n_tokens"))
 
 
+def prompted_items(documents: DataFrame, prompt: int = 64) -> DataFrame:
+    """``doc_id, n_tokens, n_loss`` of documents of which the first ``prompt`` tokens bear no loss."""
+    return document_items(documents).withColumn("n_loss", F.greatest(F.lit(0).cast("bigint"), F.col("n_tokens") - F.lit(prompt)))
+
+
 def fill_report(assigned: DataFrame) -> DataFrame:
     """``container_kind, n_containers, n_tokens, least_containers, mean_fill``; no packing needs fewer than ``least_containers``."""
     boxes = assigned.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n_tokens"), F.max("capacity").alias("capacity"))

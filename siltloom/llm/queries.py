@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltloom.llm.format_duplicates import distinct_records, format_duplicates
 from siltloom.llm.main_content import main_body_lines
-from siltloom.llm.packing import document_items, fill_containers, fill_report
+from siltloom.llm.packing import document_items, fill_containers, fill_report, prompted_items
 from siltloom.llm.repeated_lines import repeated_lines, strip_repeated
 from siltloom.llm.residue import clean_teasers, residue_cases
 from siltloom.llm.text_quality import not_prose, text_statistics
@@ -61,6 +61,11 @@ def p9_assigned(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(document_items(read_table(spark, d, "documents")), read_table(spark, d, "container_sizes"))
 
 
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """All three limits at once: tokens, segments and loss-bearing tokens."""
+    return fill_containers(prompted_items(read_table(spark, d, "documents")), read_table(spark, d, "container_sizes"), max_segments=8, max_loss_share=1.0)
+
+
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p9_assigned(spark, d))
 
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_rates": p6_rates,
         "p8_ids": p8_ids,
         "p9_assigned": p9_assigned,
+        "p9_limits": p9_limits,
         "p9_fill": p9_fill,
         "p10_found": p10_found,
         "p10_statistics": p10_statistics,

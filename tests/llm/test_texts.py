@@ -218,3 +218,20 @@ def test_truncation(spark, sites):
     rates = {(r["sp_source"], r["field_name"]): r["n_values"] for r in truncation_rates(df, sites).collect()}
     assert rates["s_a", "title"] + rates["s_b", "title"] == 1501
     assert truncated(df.limit(0), sites).count() == 0
+
+
+def test_three_limits_over_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    from siltloom.llm.packing import pack, prompted_items
+    from siltloom.llm.queries import queries
+
+    d = "/root/testdata/sf0.001"
+    got = queries()["p9_limits"](spark, d)
+    boxes = got.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("t"), F.sum("n_loss").alias("l"), F.count("*").alias("n"), F.max("capacity").alias("c")).collect()
+    assert boxes and all(b["t"] <= b["c"] and b["l"] <= b["c"] and b["n"] <= 8 for b in boxes) and any(b["n"] == 8 for b in boxes)
+    items = prompted_items(spark.read.parquet(f"{d}/documents.parquet"))
+    kinds = spark.read.parquet(f"{d}/container_sizes.parquet").count()
+    assert got.agg(F.sum("n_tokens")).head()[0] == kinds * items.agg(F.sum("n_tokens")).head()[0]
+    with pytest.raises(ValueError):
+        pack(np.array([5]), np.array([5]), 8, None, 4)
