@@ -203,7 +203,7 @@ def residue_teasers(teasers: DataFrame, sites: DataFrame) -> DataFrame:
 
     Needs ``teaser_id``, ``title``, ``sp_source``; other columns are dropped. A null or blank title is no
     residue. A title may name any site of the registry, not only its own, so the names (one short string a
-    site) go along as a constant; the registry is checked to be small, else only the own name is used.
+    site) go along as a constant; a registry of more than ``MAX_NAMES`` sites is an error.
     """
     names = _registry_names(sites)
 
@@ -216,14 +216,14 @@ def residue_teasers(teasers: DataFrame, sites: DataFrame) -> DataFrame:
     return spread(teasers.select("teaser_id", "title")).mapInPandas(run, "teaser_id bigint, is_residue boolean")
 
 
-#: A registry beyond this number of sites is not sent along as names.
+#: A registry beyond this number of sites is refused, as its names go along as a constant.
 MAX_NAMES = 20_000
 
 
 def _registry_names(sites: DataFrame) -> tuple[str, ...]:
     keys = [r[0] for r in sites.select("site_key").distinct().limit(MAX_NAMES + 1).collect()]
     if len(keys) > MAX_NAMES:
-        return ()
+        raise ValueError(f"more than {MAX_NAMES} sites; their names can't go along as a constant")
     out: dict[str, None] = {}
     for k in keys:
         for n in site_names(k):

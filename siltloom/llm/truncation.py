@@ -81,7 +81,9 @@ def open_structure(text: str) -> tuple[bool, bool]:
 
 def name_set(names: tuple[str, ...]) -> frozenset[str]:
     """Site names as words, so that texts that differ in the name alone are one witness of their form."""
-    return frozenset(n.casefold() for n in names) if len(names) <= MAX_NAMES else frozenset()
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} spellings of site names; they can't go along as a constant")
+    return frozenset(n.casefold() for n in names)
 
 
 def tokens(text: str, names: frozenset[str] = frozenset()) -> tuple[list[str], list[bool]]:

@@ -179,3 +179,15 @@ def test_spellings_of_site_names(spark, sites):
     names = _registry_names(more)
     assert {"Mühlstädtel", "Muehlstaedtel", "Saltwick-Norrey"} <= set(names)
     assert title_is_residue("{{title}} | Mühlstädtel", names) and not title_is_residue("Mühlstädtel | Wochenmarkt", names)
+
+
+def test_too_many_site_names_are_an_error(spark, monkeypatch):
+    from siltloom.llm import residue, truncation
+
+    more = spark.createDataFrame([("Alpha",), ("Beta",)], "site_key string")
+    monkeypatch.setattr(residue, "MAX_NAMES", 1)
+    monkeypatch.setattr(truncation, "MAX_NAMES", 1)
+    with pytest.raises(ValueError):
+        residue._registry_names(more)
+    with pytest.raises(ValueError):
+        truncation.name_set(("Alpha", "Beta"))
