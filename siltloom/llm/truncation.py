@@ -42,8 +42,6 @@ _OPENED = re.compile(r"[.!?]\s+[«„“(\[]\s*\Z")
 SPREAD = 16
 #: A text of several sentences needs a terminator where at least this share of its source's have one (the rest are cut ones).
 STOPPED = 0.05
-#: A registry beyond this number of spellings is not used to level names.
-MAX_NAMES = 4_000
 _VOID = frozenset(("br", "hr", "img", "input", "wbr"))
 _PAIRS = {")": "(", "]": "[", "}": "{", "“": "„", "»": "«", "”": "“"}
 #: Bits of the bitmap of asked contexts: at least and at most (16 MB).
@@ -81,8 +79,6 @@ def open_structure(text: str) -> tuple[bool, bool]:
 
 def name_set(names: tuple[str, ...]) -> frozenset[str]:
     """Site names as words, so that texts that differ in the name alone are one witness of their form."""
-    if len(names) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} spellings of site names; they can't go along as a constant")
     return frozenset(n.casefold() for n in names)
 
 
