@@ -12,11 +12,23 @@ EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class Reading(NamedTuple):
-    """One interpretation. ``form`` numbers the format; ``certain`` is false where a clock change makes two of one local time."""
+    """One interpretation.
+
+    ``form`` numbers the format; ``certain`` is false where a clock change makes two of one local time; ``cost`` is what
+    speaks against it by itself (see ``UNLIKELY``), whatever stands before and after.
+    """
 
     form: int
     utc_us: int
     certain: bool
+    cost: float = 0.0
+
+
+#: Cost of a reading against what is known of the source or the world: another order of day and month than the source's,
+#: another zone than the usual or the source's own of an abbreviation, a count since the epoch outside of ``LIKELY``.
+UNLIKELY = 4.0
+#: Microseconds between which counts since the epoch are expected (1990 to 2050).
+LIKELY = (631_152_000_000_000, 2_524_608_000_000_000)
 
 
 #: Month names and abbreviations (German, English, French). Fixed values.
@@ -38,6 +50,8 @@ ABBREVIATIONS = {
     "OEZ": 120, "OESZ": 180, "MSK": 180, "IST": 330, "JST": 540, "KST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720,
     "NZDT": 780, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
+#: Further zones that the same abbreviation stands for (Ireland, Israel; China; Bangladesh; Armenia; Arabia). Fixed values.
+OTHER_ZONES = {"IST": (60, 120), "CST": (480,), "BST": (360,), "MST": (480,), "AST": (180,), "PST": (480,), "EST": (600,)}
 
 _TZ = r"(?P<tz>[Zz]|(?:UTC|GMT)?[+\-−]\d{2}(?::?\d{2})?(?:\s*\[[A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*\])?|[Zz]\[[A-Za-z_/]+\]|\[[A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*\]|[A-Z]{2,5}|[A-Z][A-Za-z]+/[A-Za-z_]+(?:/[A-Za-z_]+)?)"
 _FRACTION = r"(?:[.,](?P<f>\d{1,9}))?"
@@ -106,25 +120,28 @@ def _local(local_us: int, zone_name: str) -> list[tuple[int, bool]]:
 _OFFSET = re.compile(r"(?:UTC|GMT)?([+\-−])(\d{2}):?(\d{2})?")
 
 
-def _resolve(local_us: int, tz: str | None, zone_name: str | None) -> tuple[int, list[tuple[int, bool]]]:
-    """(kind of zone, instants)."""
+def _resolve(local_us: int, tz: str | None, zone_name: str | None) -> tuple[int, list[tuple[int, bool, float]]]:
+    """(kind of zone, instants with their costs)."""
     if not tz:
-        return 0, _local(local_us, zone_name) if zone_name else []
+        return 0, [(us, sure, 0.0) for us, sure in _local(local_us, zone_name)] if zone_name else []
     if tz[0] in "Zz" and (len(tz) == 1 or tz[1] == "["):
-        return 1, [(local_us, True)]
+        return 1, [(local_us, True, 0.0)]
     if m := _OFFSET.match(tz):
         minutes = int(m[2]) * 60 + int(m[3] or 0)
         if minutes > 18 * 60 or int(m[3] or 0) > 59:
             return 2, []
-        return 2, [(local_us + (minutes if m[1] != "+" else -minutes) * 60_000_000, True)]
+        return 2, [(local_us + (minutes if m[1] != "+" else -minutes) * 60_000_000, True, 0.0)]
     if tz[0] == "[" or "/" in tz:
-        return 3, _local(local_us, tz.strip("[]"))
-    minutes = ABBREVIATIONS.get(tz)
-    if minutes is None:
+        return 3, [(us, sure, 0.0) for us, sure in _local(local_us, tz.strip("[]"))]
+    usual = ABBREVIATIONS.get(tz)
+    if usual is None:
         return 4, []
-    if tz == "IST" and zone_name in ("Europe/Dublin", "Asia/Jerusalem"):
-        minutes = 60 if zone_name == "Europe/Dublin" else 120
-    return 4, [(local_us - minutes * 60_000_000, True)]
+    others = OTHER_ZONES.get(tz)
+    if others is None:
+        return 4, [(local_us - usual * 60_000_000, True, 0.0)]
+    own = {(local_us - us) // 60_000_000 for us, _ in _local(local_us, zone_name)} if zone_name else set()
+    known = next((m for m in (usual, *others) if m in own), usual)
+    return 4, [(local_us - m * 60_000_000, True, 0.0 if m == known else UNLIKELY) for m in (usual, *others)]
 
 
 def _clock_us(m: re.Match, groups: dict) -> tuple[int, int] | None:
@@ -146,8 +163,8 @@ def _clock_us(m: re.Match, groups: dict) -> tuple[int, int] | None:
 def readings(value: str | None, zone_name: str | None = None, order: str | None = None) -> list[Reading]:
     """All valid interpretations of ``value``; none for null, blank, relative and impossible values.
 
-    ``zone_name``: zone of values without one. ``order``: ``dmy`` or ``mdy``, of purely numeric dates that
-    don't start with the year; both are tried if it is unknown.
+    ``zone_name``: zone of values without one. ``order``: ``dmy`` or ``mdy``, of purely numeric dates that don't start
+    with the year. The other order is a reading too, but a costly one; a value that is no date in the known order is none.
     """
     if not value:
         return []
@@ -156,13 +173,13 @@ def readings(value: str | None, zone_name: str | None = None, order: str | None
         return []
     out: list[Reading] = []
 
-    def add(kind: int, y: str, m: int, d: str, groups: dict, match: re.Match) -> None:
+    def add(kind: int, y: str, m: int, d: str, groups: dict, match: re.Match, cost: float = 0.0) -> None:
         day = _day_number(int(y) if len(y) == 4 else 2000 + int(y), m, int(d))
         clock = _clock_us(match, groups)
         if day is None or clock is None:
             return
         zone_kind, found = _resolve(day * 86_400_000_000 + clock[0], groups.get("tz"), zone_name)
-        out.extend(Reading((kind * 4 + clock[1]) * 8 + zone_kind, us, certain) for us, certain in found)
+        out.extend(Reading((kind * 4 + clock[1]) * 8 + zone_kind, us, certain, cost + more) for us, certain, more in found)
 
     first = value[0]
     if "0" <= first <= "9":
@@ -172,8 +189,11 @@ def readings(value: str | None, zone_name: str | None = None, order: str | None
             return out
         if match := _COUNT.fullmatch(value):
             n, f = match["n"], match["f"]
-            scale = 1_000_000 if len(n) <= 10 else 1000 if len(n) <= 13 else 1
-            out.append(Reading(COUNT * 32 + len(str(scale)), int(n) * scale + (int((f + "000000")[:6]) * scale // 1_000_000 if f else 0), True))
+            usual = 1_000_000 if len(n) <= 10 else 1000 if len(n) <= 13 else 1
+            for scale in (usual, *(x for x in (1_000_000, 1000, 1) if x != usual)):
+                us = int(n) * scale + (int((f + "000000")[:6]) * scale // 1_000_000 if f else 0)
+                if us < 253_402_300_800_000_000:  # the year 10000
+                    out.append(Reading(COUNT * 32 + len(str(scale)), us, True, 0.0 if scale == usual else UNLIKELY if LIKELY[0] <= us < LIKELY[1] else 2 * UNLIKELY))
             if len(n) != 12:
                 return out
         if match := _BASIC.fullmatch(value):
@@ -182,13 +202,13 @@ def readings(value: str | None, zone_name: str | None = None, order: str | None
             return out
     if match := _NUMERIC.fullmatch(value):
         g = match.groupdict()
-        if order != "mdy":
-            add(DMY, g["y"], int(g["b"]), g["a"], g, match)
-        if order != "dmy":
-            add(MDY, g["y"], int(g["a"]), g["b"], g, match)
-        if order is None and len({x.utc_us for x in out}) == 1:
+        for kind, own, month, day in ((DMY, "dmy", g["b"], g["a"]), (MDY, "mdy", g["a"], g["b"])):
+            add(kind, g["y"], int(month), day, g, match, UNLIKELY if order not in (None, own) else 0.0)
+        if order is not None and not any(x.form // 32 == (DMY if order == "dmy" else MDY) for x in out):
+            return []
+        if len({x.utc_us for x in out}) == 1:
             del out[1:]
-        return out
+        return sorted(out, key=lambda x: x.cost)
     for kind, pattern in ((DAY_NAME, _DMY_NAME), (MONTH_NAME, _MDY_NAME)):
         if match := pattern.fullmatch(value):
             g = match.groupdict()

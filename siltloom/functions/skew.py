@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1000
 
 
+def split_hot(rows: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of no hot key: these are taken out where they are read, before any shuffle. ``hot`` is small (see ``join_counted``)."""
+    return rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+
+
 def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, which has one row a key and the key's number of rows in ``count``.
 
-    Keys with more than ``total / HOT_PARTS`` rows, of which there are fewer than ``HOT_PARTS``, are broadcast;
-    all others are joined by a shuffle in which no key is large. No row is dropped or doubled.
+    Keys with more than ``total / HOT_PARTS`` rows, of which there are fewer than ``HOT_PARTS``, are broadcast to
+    their rows, which stay where they are; only the rows of other keys are shuffled, and none of these keys is
+    large. No row is dropped or doubled.
     """
     limit = total // HOT_PARTS
-    hot = F.broadcast(keyed.where(F.col(count) > limit))
+    hot = keyed.where(F.col(count) > limit)
     cold = keyed.where(F.col(count) <= limit)
-    return rows.join(hot, on).unionByName(rows.join(cold, on))
+    return rows.join(F.broadcast(hot), on).unionByName(split_hot(rows, hot, on).join(cold, on))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from siltloom.functions.css import SelectorError, select
 from siltloom.functions.html import page_lines, parse
-from siltloom.functions.instants import readings
+from siltloom.functions.instants import UNLIKELY, readings
 from siltloom.functions.robots import Rule, parse_robots, to_regex
 from siltloom.functions.text import decode_entities, strip_tags
 from siltloom.functions.urls import resolve, sanitise, strip_parameters
@@ -82,7 +82,7 @@ BERLIN = "Europe/Berlin"
     ],
 )
 def test_readings(value, utc):
-    found = readings(value, BERLIN, "dmy")
+    found = [x for x in readings(value, BERLIN, "dmy") if x.cost < UNLIKELY]
     assert [x.utc_us for x in found] == [round(utc * 1e6)] and found[0].certain
 
 
@@ -95,7 +95,11 @@ def test_ambiguous_readings():
     both = readings("2023-10-29 02:30", BERLIN, "dmy")
     assert len(both) == 2 and not any(x.certain for x in both)
     assert len(readings("05/04/2020", "UTC", None)) == 2 and len(readings("05/05/2020", "UTC", None)) == 1
-    assert [x.utc_us for x in readings("05/04/2020", "UTC", "mdy")] == [1588550400000000]
+    known = readings("05/04/2020", "UTC", "mdy")  # the other order is a reading, too, but dearer than any path
+    assert [(x.utc_us, x.cost) for x in known] == [(1588550400000000, 0.0), (1586044800000000, UNLIKELY)] and readings("25/04/2020", "UTC", "mdy") == []
+    assert [(x.utc_us, x.cost) for x in readings("1589019627", "UTC", None)][0] == (1589019627000000, 0.0) and len(readings("1589019627", "UTC", None)) == 3
+    assert {x.utc_us // 60_000_000 % 1440 for x in readings("2024-01-10 10:00 IST", "UTC", None)} == {270, 540, 480}
+    assert [x.cost for x in readings("2024-01-10 10:00 IST", "Asia/Jerusalem", None)] == [UNLIKELY, UNLIKELY, 0.0]
     long = "Donnerstag, den 12. September 2024 um 10:00:00.123456789 Uhr GMT+02:00 [America/Argentina/ComodRivadavia]"
     assert len(long) > 80 and [x.utc_us for x in readings(long, "UTC", "dmy")] == [1726128000123456]
     assert readings("2020-01-01 10:00", None, "dmy") == []
@@ -104,15 +108,30 @@ def test_ambiguous_readings():
 def test_viterbi_against_brute_force():
     import itertools
 
-    rng = random.Random(5)
-    for _ in range(200):
-        steps = [([rng.randrange(3) for _ in range(k)], [rng.randrange(50) for _ in range(k)]) for k in (rng.randint(1, 3) for _ in range(rng.randint(1, 5)))]
-        before, after = (rng.choice([None, (1, 20)]), rng.choice([None, (2, 30)]))
+    import numpy as np
 
-        def cost(path, steps=steps, before=before, after=after):
-            seq = [(f[k], t[k]) for (f, t), k in zip(steps, path)]
-            seq = ([before] if before else []) + seq + ([after] if after else [])
-            return sum((a[0] != b[0]) + 0.5 * (b[1] < a[1]) for a, b in zip(seq, seq[1:]))
+    from siltloom.operators.timestamps import BACK, SWITCH, block_matrix, choose_ends
 
-        best = min(cost(p) for p in itertools.product(*[range(len(f)) for f, _ in steps]))
-        assert cost(best_path(steps, before, after)) == best
+    rng = random.Random(5)
+    for _ in range(200):
+        steps = []
+        for k in (rng.randint(1, 3) for _ in range(rng.randint(2, 6))):
+            steps.append((np.array([rng.randrange(3) for _ in range(k)]), np.array([rng.randrange(50) for _ in range(k)]), np.array([rng.choice([0.0, 0.5, 4.0]) for _ in range(k)])))
+
+        def cost(path, steps=steps):
+            seq = [(f[k], t[k]) for (f, t, _), k in zip(steps, path)]
+            return sum((a[0] != b[0]) + 0.5 * (b[1] < a[1]) for a, b in zip(seq, seq[1:])) + sum(c[k] for (_, _, c), k in zip(steps, path))
+
+        every = list(itertools.product(*[range(len(x[0])) for x in steps]))
+        best = min(map(cost, every))
+        assert cost(best_path(steps)) == best
+        ends = rng.choice(every)[0], rng.choice(every)[-1]
+        assert cost(best_path(steps, *ends)) == min(cost(p) for p in every if (p[0], p[-1]) == ends)
+        # blocks cut anywhere give a path of the same cost
+        at = rng.randint(1, len(steps) - 1)
+        parts = [steps[:at], steps[at:]]
+        fixed = choose_ends([(*x[0][:2], *x[-1][:2], block_matrix(x)) for x in parts])
+        assert cost([k for x, (i, j) in zip(parts, fixed) for k in best_path(x, i, j)]) == best
+        # what is dearer than any path can gain is on no best path
+        kept = [np.flatnonzero(c <= c.min() + 2 * (SWITCH + BACK)) for _, _, c in steps]
+        assert min(cost([k[i] for k, i in zip(kept, p)]) for p in itertools.product(*[range(len(k)) for k in kept])) == best

@@ -1,5 +1,9 @@
 import random
-from datetime import datetime
+from statistics import median
+from datetime import datetime, timedelta
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from siltloom.functions.instants import readings
 from siltloom.functions.skew import join_counted
@@ -78,7 +82,7 @@ def test_path_over_blocks(spark):
     sites = spark.createDataFrame([("s", "x", "UTC", None), ("s2", "x", "UTC", "dmy")], SITES)
     known = [(k, readings(v, "UTC", None)) for k, v in seq]
     known = [(k, r) for k, r in known if r]
-    path = best_path([([x.form for x in r], [x.utc_us for x in r]) for _, r in known], None, None)
+    path = best_path([(np.array([x.form for x in r]), np.array([x.utc_us for x in r]), np.array([x.cost for x in r])) for _, r in known])
     best = {(k, r[i].utc_us) for (k, r), i in zip(known, path)}
     cost = lambda chosen: sum((a.form != b.form) + 0.5 * (b.utc_us < a.utc_us) for a, b in zip(chosen, chosen[1:]))
     for block in (16, 100, 1 << 16):
@@ -88,6 +92,19 @@ def test_path_over_blocks(spark):
         assert cost([by[k][us] for k, us in sorted(got)]) == cost([by[k][us] for k, us in sorted(best)])
 
 
+def test_path_decides(spark):
+    """Where the registry is silent the neighbours decide; where it speaks it is followed."""
+    rows = [("t", 1, "s", "25/03/2024", None, None), ("t", 2, "s", "04/05/2024", None, None), ("t", 3, "s", "26/05/2024", None, None)]
+    rows += [("t", 1, "u", "03/25/2024", None, None), ("t", 2, "u", "04/05/2024", None, None), ("t", 3, "u", "05/26/2024", None, None)]
+    rows += [("t", 1, "v", "2024-10-27T02:10", None, None), ("t", 2, "v", "2024-10-27T02:40", None, None), ("t", 3, "v", "2024-10-27T02:20", None, None), ("t", 4, "v", "2024-10-27T03:00", None, None)]
+    rows += [("t", 1, "w", "25/03/2024", None, None), ("t", 2, "w", "04/05/2024", None, None)]
+    sites = spark.createDataFrame([("s", "", "UTC", None), ("u", "", "UTC", None), ("v", "", "Europe/Berlin", None), ("w", "", "UTC", "mdy")], SITES)
+    for block in (2, 1 << 16):
+        got = {(r[2], r[1]): (datetime(1970, 1, 1) + timedelta(microseconds=r[3])).strftime("%m-%d %H:%M") for r in normalise(spark.createDataFrame(rows, VALUES), sites, block).collect()}
+        assert (got["s", 2], got["u", 2], got["w", 2]) == ("05-04 00:00", "04-05 00:00", "04-05 00:00")
+        assert [got["v", k] for k in (1, 2, 3, 4)] == ["10-27 00:10", "10-27 00:40", "10-27 01:20", "10-27 02:00"]
+
+
 def test_timestamps_defined_cases(spark):
     sites = spark.createDataFrame([("s", "x", "Europe/Berlin", "dmy")], SITES)
     rows = [("t", 1, "s", "2023-10-29 02:30", None, None), ("t", 2, "s", "2023-03-26 02:30", None, None), ("t", 3, "s", "x" * 10_000, None, None), ("t", 4, "gone", "2020-01-01", None, None), ("t", 4, "gone", "1589019627", None, None)]
@@ -100,3 +117,23 @@ def test_join_counted_keeps_all_rows(spark):
     rows = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(3000)], "k bigint, v bigint")
     keyed = rows.groupBy("k").count()
     assert join_counted(rows, keyed, ["k"], "count", 3000).count() == 3000
+
+
+def test_hot_keys_are_not_shuffled(spark):
+    """A third of all rows has one key: no task gets much more than the others."""
+    n = 300_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id").repartition(8)
+    keyed = rows.groupBy("k").count()
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        joined = join_counted(rows, keyed, ["k"], "count", n)
+        sizes = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == n and max(sizes) <= 2 * median(sizes)
+    assert "LeftAnti, BuildRight" in plan
