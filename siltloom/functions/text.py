@@ -89,6 +89,8 @@ def strip_tags(text: str) -> str:
     return "".join(out)
 
 
+_WORD = re.compile(r"\w")
+_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _ENTITY = re.compile(r"&(?:#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6})|[A-Za-z][A-Za-z0-9]{1,31});")
 
 
@@ -107,20 +109,41 @@ def decode_entities(text: str) -> str:
     return _ENTITY.sub(_entity, text) if "&" in text else text
 
 
+def drop_elements(text: str, names: tuple[str, ...] = ("script", "style")) -> str:
+    """Elements of these names out with all they hold, up to their own end tag; one that is never ended stays."""
+    low = text.lower() if text.isascii() else text.translate(_LOWER)  # one character each, so places agree
+    if not any(f"<{n}" in low for n in names):
+        return text
+    out, i = [], 0
+    at = 0
+    while (at := low.find("<", at)) >= 0:
+        name = next((n for n in names if low.startswith(n, at + 1) and not _WORD.match(low, at + 1 + len(n))), None)
+        head = low.find(">", at) if name else -1
+        end = low.find(f"</{name}>", head + 1) if head >= 0 else -1
+        if end < 0:
+            at += 1
+            continue
+        out.append(text[i:at])
+        i = at = end + len(name) + 3
+    return "".join([*out, text[i:]])
+
+
+def _plain(s: str | None) -> str | None:
+    try:
+        return decode_entities(strip_tags(drop_elements(s))) if isinstance(s, str) else None
+    except Exception:  # one row must not end the run
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def _markup_out(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: decode_entities(strip_tags(s)) if isinstance(s, str) else None)
+    return values.map(_plain)
 
 
 #: Filters on a UDF's result would be pushed below it with a second copy of the UDF; so it counts as not deterministic.
 _markup_out = _markup_out.asNondeterministic()
 
 
-def without_scripts(c: Column) -> Column:
-    """Script and style elements with their content out."""
-    return F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1>", "")
-
-
 def clean(c: Column) -> Column:
-    """Scripts, tags, entities, whitespace, trim, in this order; so encoded tags come out as text."""
-    return trim(collapse_ascii(_markup_out(without_scripts(c))))
+    """Scripts and styles, tags, entities, whitespace, trim, in this order; so encoded tags come out as text. Null for null and for what can't be read."""
+    return trim(collapse_ascii(_markup_out(c)))

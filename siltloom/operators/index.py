@@ -1,7 +1,8 @@
 """Index documents and the snapshot sink: a run replaces its source's documents.
 
-The index is a folder of Parquet with one sub-folder a source. A run's documents are written beside the old ones
-and swapped in by a rename, so a reader or a failed write never sees half a snapshot.
+The index is a folder of Parquet with one sub-folder a source, in which every snapshot is a version of its own. A run's
+documents are written beside the old ones and a pointer is moved to them in one step, so a reader or a failed write never
+sees half a snapshot or none; the snapshot before stays until the next run for those who are reading it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltloom.pointer import Pointer
 from siltloom.schemas import DOCUMENTS
 
 log = logging.getLogger("siltloom.crawler")
@@ -48,13 +50,15 @@ def documents(teasers: DataFrame, source: str, run_id: str, intro_present: bool,
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, complete: bool) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, complete: bool, order: list[str] | None = None) -> DataFrame:
     """The source's documents after a run: those of ``new``, and, if the run was not complete, the old ones it did not replace.
 
-    Of documents with one id in ``new`` one is kept (the largest title, then intro).
+    Of documents with one id in ``new`` the one added last is kept: the last by ``order``, columns of ``new``. Documents of
+    a run have distinct ids, so without an ``order`` the largest title, then intro, stands for the last.
     """
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("title").desc_nulls_last(), F.col("sp_intro").desc_nulls_last()))
-    new = new.withColumn("_n", rank).where("_n = 1").drop("_n")
+    by = [F.col(c).desc_nulls_last() for c in [*(order or []), "title", "sp_intro"]]
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(*by))
+    new = new.withColumn("_n", rank).where("_n = 1").select(*old.columns)
     return new if complete else new.unionByName(old.join(new.select("id"), "id", "left_anti").select(*new.columns))
 
 
@@ -64,24 +68,20 @@ class Index:
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def _place(self, source: str) -> str:
         safe = "".join(c if c.isalnum() or c in "-_." else f"%{ord(c):04x}" for c in source)
         return f"{self.path}/source={safe}"
 
     def read(self, source: str) -> DataFrame:
         place = self._place(source)
-        fs, p = self._fs(place)
-        return self.spark.read.schema(DOCUMENTS).parquet(place) if fs.exists(p) else self.spark.createDataFrame([], DOCUMENTS)
+        current = Pointer(self.spark, place).read()
+        return self.spark.createDataFrame([], DOCUMENTS) if current is None else self.spark.read.schema(DOCUMENTS).parquet(f"{place}/{current['version']}")
 
-    def replace(self, docs: DataFrame, source: str, failed: DataFrame | None = None, allow_empty_snapshot: bool = True) -> Status:
+    def replace(self, docs: DataFrame, source: str, failed: DataFrame | None = None, allow_empty_snapshot: bool = True, order: list[str] | None = None) -> Status:
         """Write a run's documents and delete the source's stale ones if none failed.
 
         ``failed``: ids that could not be taken; they are left out, and then nothing old is deleted. An empty run
-        wipes the source, unless ``allow_empty_snapshot`` is false, when the old documents stay.
+        wipes the source, unless ``allow_empty_snapshot`` is false, when the old documents stay. ``order``: see ``upsert``.
         """
         total = docs.count()
         good = docs if failed is None else docs.join(failed.select("id"), "id", "left_anti")
@@ -89,23 +89,21 @@ class Index:
         if total == 0 and not allow_empty_snapshot:
             log.warning("%s: an empty run; the snapshot stays", source)
             return Status(0, 0, 0)
-        place = self._place(source)
-        staged = f"{place}.staged-{uuid.uuid4().hex}"
-        upsert(self.read(source), good.select(*[c.split()[0] for c in DOCUMENTS.split(", ")]), processed >= total).write.parquet(staged)
-        fs, target = self._fs(place)
-        _, source_path = self._fs(staged)
-        if fs.exists(target):
-            _, old = self._fs(f"{place}.old-{uuid.uuid4().hex}")
-            fs.rename(target, old)
-            fs.rename(source_path, target)
-            fs.delete(old, True)
-        else:
-            fs.mkdirs(target.getParent())
-            fs.rename(source_path, target)
+        place, version = self._place(source), f"v-{uuid.uuid4().hex}"
+        pointer = Pointer(self.spark, place)
+        current = pointer.read()
+        upsert(self.read(source), good, processed >= total, order).write.parquet(f"{place}/{version}")
+        pointer.write({"version": version, "total": total, "processed": processed, "errors": total - processed})
+        pointer.remove_others({version, current["version"]} if current else {version})
         if processed < total:
             log.error("%s: %d of %d documents failed", source, total - processed, total)
         return Status(total, processed, total - processed)
 
+    def status(self, source: str) -> Status | None:
+        """Of the last run that was taken; None where there was none."""
+        current = Pointer(self.spark, self._place(source)).read()
+        return None if current is None else Status(current["total"], current["processed"], current["errors"])
+
     # the remaining surface of an indexer: nothing to do for a batch index
     enabled = True
 

@@ -7,20 +7,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltloom.config import DateSpec, FieldSpec, Reader, ScoreRule, Scoring, SiteConfig
 from siltloom.functions.text import collapse_ascii, trim, truncate_clean, truncate_field
 from siltloom.operators import urls as U
 from siltloom.operators.clean import clean_teasers
-from siltloom.operators.discover import discover, explode_links
+from siltloom.operators.discover import crawl, explode_links, link_graph
 from siltloom.operators.extract import dom_pass, guard, parse_date, teaser_columns
 from siltloom.operators.index import Index, documents
 from siltloom.operators.score import relevant, score
 from siltloom.operators.snapshots import snapshot_changes
 from siltloom.operators.timestamps import normalise, timestamp_values
 from siltloom.plans.pipeline import extract_teasers, run_site, teasers_of
+from siltloom.pointer import Pointer
 from siltloom.session import read_table, ship_package, work_folder
 from siltloom.sources.fetch import backoff_schedule, next_wait
 from siltloom.sources.pages import chunked, fetch_pages, successful
@@ -156,7 +157,8 @@ BFS = {
 def _bfs(depth: int, limit: int) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         config = SITE.with_(start_urls=((f"{_B}/", depth),), max_teaser=limit, allow_prefixes=(_B,), deny_prefixes=(f"{_B}/private",))
-        return discover(_literal(spark, GRAPH, "url string, html string"), config).select((F.col("ord") % F.lit(1 << 32)).alias("n"), "url")
+        found = crawl(link_graph(_literal(spark, GRAPH, "url string, html string"), config.link_section, config.link_selector), _literal(spark, [(0, f"{_B}/", depth)], "start int, url string, max_depth int"), config)
+        return found.select(F.row_number().over(Window.orderBy(F.size("path"), "path")).cast("bigint").alias("n"), "url")
 
     return run
 
@@ -357,40 +359,57 @@ def site_run(spark: SparkSession, d: str) -> DataFrame:
 WHOLE = SITE.with_(link_section="", max_teaser=(1 << 31) - 1)
 
 
-def _all_starts(spark: SparkSession, d: str) -> DataFrame:
-    """Every page's url as a start of depth 1: no base url of a site is in the table, and few pages link to each other."""
+def _all_starts(spark: SparkSession, d: str, depth: int) -> DataFrame:
+    """Every page's url as a start: no base url of a site is in the table, and few pages link to each other."""
     pages = read_table(spark, d, "pages_in")
-    return pages.groupBy("url").agg(F.min("page_id").alias("start")).select("start", "url", F.lit(1).alias("max_depth"))
+    return pages.groupBy("url").agg(F.min("page_id").alias("start")).select("start", "url", F.lit(depth).alias("max_depth"))
+
+
+def _crawled(spark: SparkSession, d: str, config: SiteConfig, depth: int) -> DataFrame:
+    """Links found over the whole table, from every page, in the queue's order."""
+    graph = link_graph(read_table(spark, d, "pages_in"), config.link_section, config.link_selector)
+    found = crawl(graph, _all_starts(spark, d, depth), config, "skip")
+    return found.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("place"), "url")
 
 
 def bfs_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Links found over the whole table, from every page and the pages it links to."""
-    return discover(read_table(spark, d, "pages_in"), WHOLE, "skip", _all_starts(spark, d))
+    """From every page and the pages it links to, and those they link to."""
+    return _crawled(spark, d, WHOLE, 2)
+
+
+def bfs_pages_limit(spark: SparkSession, d: str) -> DataFrame:
+    """As ``bfs_pages``, over prefixes, with a cap at which a start loads no more pages."""
+    return _crawled(spark, d, WHOLE.with_(max_teaser=17, allow_prefixes=ALLOW, deny_prefixes=DENY), 2)
 
 
 def site_run_pages(spark: SparkSession, d: str) -> DataFrame:
     """A whole run over the whole table: discovery, urls, fetch, teasers, snapshot."""
     index = Index(spark, work_folder(spark, "index"))
-    run_site(spark, WHOLE, read_table(spark, d, "pages_in"), index, on_missing="skip", starts=_all_starts(spark, d))
+    run_site(spark, WHOLE, read_table(spark, d, "pages_in"), index, on_missing="skip", starts=_all_starts(spark, d, 1))
     return index.read(WHOLE.id).select("id", "title", "sp_intro")
 
 
 def index_replace_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Index.replace over all documents: those of the runs without errors, then those of the others, which replace only what they hold."""
+    """Index.replace over all documents: those of the runs without errors, then those of the others, which replace only what they hold.
+
+    Of documents with one id the one indexed last holds.
+    """
     docs = read_table(spark, d, "index_docs").withColumn("sp_date", F.lit(None).cast("timestamp"))
     runs = read_table(spark, d, "run_status").where("errors > 0").select("crawl_process_id")
-    index = Index(spark, work_folder(spark, "index"))
-    index.replace(docs.join(runs, "crawl_process_id", "left_anti"), "all")
+    index, order = Index(spark, work_folder(spark, "index")), ["indexed_at", "entry_id"]
+    index.replace(docs.join(runs, "crawl_process_id", "left_anti"), "all", order=order)
     late = docs.join(runs, "crawl_process_id", "left_semi")
-    index.replace(late, "all", late.where("title is null or sp_intro is null").select("id").distinct())
+    index.replace(late, "all", late.where("title is null or sp_intro is null").select("id").distinct(), order=order)
     return index.read("all").select("id", "title", "sp_intro")
 
 
 def stream_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The pages as a stream that ends when all have been processed."""
+    """The pages as a stream from the table's own files that ends when all have been processed."""
     folder = work_folder(spark, "stream")
-    read_table(spark, d, "pages_in").write.parquet(f"{folder}/in")
-    stream_teasers(page_stream(spark, f"{folder}/in"), SITE, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    table = f"{d.rstrip('/')}/pages_in.parquet"
+    fs, path = Pointer(spark, d)._fs(table)
+    pages = page_stream(spark, table) if fs.getFileStatus(path).isDirectory() else page_stream(spark, d, pattern="pages_in.parquet")
+    stream_teasers(pages, SITE, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema("url string, title string, introText string, datetime timestamp").parquet(f"{folder}/out")
 
 
@@ -445,7 +464,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         url_scheme_filter, url_allow_prefix, url_deny_prefix, url_deny_endings, url_strip_params, url_sanitize_edge, url_ordered_distinct, url_topk, url_forced_union, url_pipeline,
         robots_filter, robots_unavailable, links_all, links_distinct, fetch_join, fetch_status_filter, fetch_chunks, fetch_backoff, page_guard, extract_pages, extract_cascade, extract_dates,
         truncate_40, truncate_uncapped, clean_truncate, clean_text_ws, score_rules, score_filter, score_reasons, score_pages, score_edge, clean_html_golden, index_documents, index_no_date,
-        config_readers, site_pipeline, site_run, bfs_pages, site_run_pages, index_replace_docs, stream_pages, p3_found, p3_instants, p7_found,
+        config_readers, site_pipeline, site_run, bfs_pages, bfs_pages_limit, site_run_pages, index_replace_docs, stream_pages, p3_found, p3_instants, p7_found,
     )
     return {f.__name__: f for f in plain} | {k: _bfs(n, limit) for k, (n, limit, _) in BFS.items()} | {k: f for k, (f, _) in SNAPSHOTS.items()}
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -41,15 +44,19 @@ def bound_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    All executors see it, so data written there survives the loss of an executor. Only where the
-    setting is unset (tests, a single machine) a temporary folder is chosen, one a session.
+    All executors see it, so data written there survives the loss of an executor. Only where the setting is
+    unset and all runs on this machine (a ``local`` master) a temporary folder is chosen, one a session.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
         context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         root = getattr(context, "_siltloom_work", None)
         if root is None:
-            root = context._siltloom_work = f"file://{tempfile.mkdtemp(prefix='siltloom-')}"
+            folder = tempfile.mkdtemp(prefix="siltloom-")
+            atexit.register(shutil.rmtree, folder, True)
+            root = context._siltloom_work = f"file://{folder}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

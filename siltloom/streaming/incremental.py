@@ -10,10 +10,14 @@ from siltloom.plans.pipeline import teasers_of
 from siltloom.session import ship_package
 
 
-def page_stream(spark: SparkSession, folder: str, schema: str = "page_id bigint, url string, sp_source string, html string, fetched_at timestamp", max_files: int = 64) -> DataFrame:
-    """Parquet files of pages as they arrive in ``folder``, a bounded number of files in a batch."""
+SCHEMA = "page_id bigint, url string, sp_source string, html string, fetched_at timestamp"
+
+
+def page_stream(spark: SparkSession, folder: str, schema: str = SCHEMA, max_files: int = 64, pattern: str | None = None) -> DataFrame:
+    """Parquet files of pages as they arrive in ``folder``, a bounded number of files in a batch; only those whose name has the ``pattern``, if there is one."""
     ship_package(spark)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
 
 
 def stream_teasers(pages: DataFrame, config: SiteConfig, target: str, checkpoint: str) -> StreamingQuery:

@@ -1,3 +1,6 @@
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from siltloom.config import FieldSpec, ScoreRule, Scoring, SiteConfig
@@ -64,14 +67,43 @@ def test_discovery(spark):
     for html, expected in cases.items():
         assert [r[1] for r in rows(discover(page(spark, (f"{B}/", html)), config), "ord")] == [B + x for x in expected]
     assert discover(page(spark, (f"{B}/", "")), site()).count() == 0
-    import pytest
-
     with pytest.raises(MissingPage):
         discover(page(spark, ("x", "")), config)
     assert discover(page(spark, ("x", "")), config, "skip").count() == 0
     assert explode_links(page(spark, ("u", None), ("v", "<a href=x>"), (f"{B}/", "<a href=x>")), "", "a[href]").count() == 1
 
 
+def test_nothing_is_loaded_beyond_the_cap(spark):
+    pages = page(spark, (f"{B}/", '<div id=content><a href="/a"></a><a href="/missing"></a></div>'), (f"{B}/a", '<div id=content><a href="/b"></a></div>'))
+    found = lambda n: [r[1] for r in rows(discover(pages, site(start_urls=((f"{B}/", 1),), max_teaser=n)), "ord")]
+    assert found(1) == [B + "/a"] and found(2) == [B + "/a", B + "/missing"] and found(3) == [B + "/a", B + "/missing", B + "/b"] and found(0) == []
+    with pytest.raises(MissingPage):
+        found(4)
+    two = site(start_urls=((f"{B}/", 0), (f"{B}/", 1)), max_teaser=3)
+    assert [r[1] for r in rows(discover(pages, two), "ord")] == [B + x for x in ("/a", "/missing", "/a", "/missing", "/b")]
+
+
+def test_latest_page_is_taken(spark):
+    at = lambda d: datetime(2024, 1, d)
+    pages = spark.createDataFrame([(1, "u", "b", at(3)), (2, "u", "a", at(2)), (3, "v", "x", at(1)), (4, "v", None, at(1)), (5, None, "n", at(1))], "page_id bigint, url string, html string, fetched_at timestamp")
+    assert sorted(tuple(r) for r in fetch_pages(urls(spark, "u", "v", "w"), pages).collect()) == [("u", "b"), ("v", None)]
+
+
+def test_snapshots_are_versions(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/index")
+    index.replace(docs(spark, "r1", ("a", "A")), "s")
+    old = index.read("s")
+    index.replace(docs(spark, "r2", ("a", "B"), ("c", "C")), "s")
+    assert rows(old.select("id", "title")) == [("a", "A")]  # a reader of the old snapshot goes on
+    assert rows(index.read("s").select("id", "title")) == [("a", "B"), ("c", "C")] and index.status("s") == (2, 2, 0) and index.status("t") is None
+    index.replace(docs(spark, "r3", ("d", "D")), "s")
+    assert len([x for x in (tmp_path / "index" / "source=s").iterdir() if x.is_dir()]) == 2
+    bad = spark.createDataFrame([("a",)], "id string").select("id", F.raise_error(F.lit("no")).alias("title"))
+    with pytest.raises(Exception):
+        index.replace(docs(spark, "r4", ("e", "E")).drop("title").join(bad, "id", "left"), "s")
+    assert rows(index.read("s").select("id")) == [("d",)]
+
+
 def test_two_starts_keep_their_order(spark):
     pages = page(spark, (f"{B}/1", '<div id=content><a href="/x"></a><a href="/y"></a></div>'), (f"{B}/2", '<div id=content><a href="/y"></a><a href="/z"></a></div>'))
     config = site(start_urls=((f"{B}/2", 0), (f"{B}/1", 0)), max_teaser=3)
