@@ -5,6 +5,8 @@ The pass is a ``mapInPandas``, for a struct-valued UDF would run twice under the
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from siltloom.config import DateSpec, FieldSpec, SiteConfig
 from siltloom.functions.css import SelectorError, first
 from siltloom.functions.html import Node, parse
-from siltloom.functions.instants import readings
+from siltloom.functions.loose_dates import parse_loose
 from siltloom.functions.text import TRIM, truncate_field
 from siltloom.session import bound_arrow, spread
 
@@ -83,14 +85,13 @@ def raw_date(root: Node, spec: DateSpec) -> str | None:
     return None
 
 
-def parse_date(raw: str | None, only_date: bool = True) -> int | None:
-    """Microseconds UTC, or None. Relative forms are not read."""
+def parse_date(raw: str | None, only_date: bool = True, now: datetime | None = None) -> int | None:
+    """Microseconds UTC, or None for what can't be read; relative forms count from ``now`` (see ``parse_loose``)."""
     if raw is None:
         return None
     if only_date and len(raw) == 10 and raw[4:5] == raw[7:8] == "-" and raw.replace("-", "").isdigit():
         raw += " 00:00:00"
-    found = readings(raw, "UTC", "dmy" if "." in raw else "mdy" if "/" in raw else "dmy")
-    return found[0].utc_us if found else None
+    return parse_loose(raw, now)
 
 
 def body_text(root: Node) -> str:
@@ -104,8 +105,12 @@ def body_text(root: Node) -> str:
 RAW = "url string, title_raw string, intro_raw string, date_raw string, date_us bigint, body_text string, failed boolean"
 
 
-def dom_pass(pages: DataFrame, config: SiteConfig, need_body: bool = True) -> DataFrame:
-    """``url`` and the raw strings of each page; a page that can't be read is marked ``failed`` and has none."""
+def dom_pass(pages: DataFrame, config: SiteConfig, need_body: bool = True, now: datetime | None = None) -> DataFrame:
+    """``url`` and the raw strings of each page; a page that can't be read is marked ``failed`` and has none.
+
+    Relative dates count from ``now``, by default the time of this call, which is the same for all pages and retries.
+    """
+    now = now or datetime.now(timezone.utc)
     bound_arrow(pages.sparkSession)
     title, intro, date = config.title, config.intro, config.datetime
 
@@ -113,7 +118,7 @@ def dom_pass(pages: DataFrame, config: SiteConfig, need_body: bool = True) -> Da
         try:
             root = parse(page)
             raw = raw_date(root, date)
-            return (url, raw_field(root, title), raw_field(root, intro), raw, parse_date(raw, date.only_date), body_text(root) if need_body else None, False)
+            return (url, raw_field(root, title), raw_field(root, intro), raw, parse_date(raw, date.only_date, now), body_text(root) if need_body else None, False)
         except Exception:  # one page must not end the run
             return (url, None, None, None, None, None, True)
 
@@ -141,5 +146,3 @@ def teaser_columns(raw: DataFrame, config: SiteConfig) -> DataFrame:
         F.timestamp_micros("date_us").alias("datetime"),
         "body_text",
     )
-
-

@@ -6,6 +6,7 @@ Queries over tables read whole tables. Edge cases that the tables don't hold are
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -219,14 +220,16 @@ def extract_cascade(spark: SparkSession, d: str) -> DataFrame:
     return extract_teasers(pages, CASCADE_CONFIG).select("url", "title", "introText", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
+#: Relative dates count from 2026-03-04 15:30.
 DATES = [
     ("2026-01-14", "2026-01-14 00:00:00"), ("2026-01-14T10:00:00+01:00", "2026-01-14 09:00:00"), ("2026-01-14 10:00:00", "2026-01-14 10:00:00"),
-    ("Wed, 14 Jan 2026 10:00:00 +0000", "2026-01-14 10:00:00"), ("14.01.2026", "2026-01-14 00:00:00"), ("tomorrow", None), ("2026-02-30", None), ("", None),
+    ("Wed, 14 Jan 2026 10:00:00 +0000", "2026-01-14 10:00:00"), ("14.01.2026", "2026-01-14 00:00:00"), ("tomorrow", "2026-03-05 00:00:00"), ("2026-02-30", "2026-03-02 00:00:00"), ("14. Januar 2026", None),
+    ("3 days ago", "2026-03-01 15:30:00"), ("last friday", "2026-02-27 00:00:00"), ("2026-01-14 10:00 Europe/Berlin", "2026-01-14 09:00:00"), ("soon", None),
 ]
 
 
 def extract_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(raw, parse_date(raw)) for raw, _ in DATES]
+    rows = [(raw, parse_date(raw, now=datetime(2026, 3, 4, 15, 30))) for raw, _ in DATES]
     return _literal(spark, rows, "raw string, us bigint").select("raw", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 

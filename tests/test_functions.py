@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -135,3 +136,16 @@ def test_viterbi_against_brute_force():
         # what is dearer than any path can gain is on no best path
         kept = [np.flatnonzero(c <= c.min() + 2 * (SWITCH + BACK)) for _, _, c in steps]
         assert min(cost([k[i] for k, i in zip(kept, p)]) for p in itertools.product(*[range(len(k)) for k in kept])) == best
+
+
+def test_loose_dates():
+    from siltloom.functions.loose_dates import parse_loose
+
+    now = datetime(2026, 3, 4, 15, 30)
+    at = lambda v: None if (us := parse_loose(v, now)) is None else (datetime(1970, 1, 1) + timedelta(microseconds=us)).isoformat(" ")
+    cases = {
+        "yesterday noon": "2026-03-03 12:00:00", "+1 week": "2026-03-11 15:30:00", "next monday": "2026-03-09 00:00:00", "first day of next month": "2026-04-01 15:30:00", "@86400": "1970-01-02 00:00:00",
+        "January 5, 2024 3:04 pm": "2024-01-05 15:04:00", "10:15": "2026-03-04 10:15:00", "2024-02-31 10:00": "2024-03-02 10:00:00", "last day of february 2024": "2024-02-29 00:00:00",
+        "2026-07-14 10:00 EST": "2026-07-14 15:00:00", "14.01.26": "2026-03-04 14:01:26", "14.01.78": "1978-01-14 00:00:00", "32.01.2026": None, "2026-13-01": None, "14 märz 2024": None, "x" * 9999: None, None: None,
+    }
+    assert {v: at(v) for v in cases} == cases
