@@ -8,11 +8,15 @@ of the other chunks are joined to classify them as added, removed or changed.
 Plan: rows shrink to (source, run, id, 128-bit content hash) and are made distinct with a map-side
 combine; one range exchange by (source, id) brings all snapshots' rows of a stretch of keys together, so
 chunks of consecutive runs meet in one task and a source that holds a third of all rows is spread over
-many. A task keeps two runs' chunks of its own stretch. Only rows of differing chunks go on to the join.
+many. A task keeps two runs' rows of its own stretch, and digests of a run are taken and compared at once, in arrays.
+Only rows of differing chunks go on to the join: where a share r of rows changes from run to run, chunks of c keys keep
+1 - (1 - r)^c of them, so chunks are small.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 from siltloom.session import cut
 
-#: A chunk ends at one key in CHUNK on average.
-CHUNK = 32
+#: A chunk ends at one key in CHUNK on average. With a tenth of the rows changing between runs, a third of them is kept.
+CHUNK = 3
 #: Columns whose stored text makes a record changed.
 CONTENT = ("title", "sp_intro", "sp_date", "sp_objecttype")
 
@@ -74,54 +78,81 @@ def differing_rows(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return sorted_rows.mapInPandas(_compare_chunks, "sp_source string, run_no int, id string, hi bigint, lo bigint, old boolean")
 
 
+class _Run(NamedTuple):
+    """One run's rows in a stretch of keys, sorted by key, and its chunks."""
+
+    ids: np.ndarray
+    hi: np.ndarray
+    lo: np.ndarray
+    sizes: np.ndarray  # of the chunks
+    digests: np.ndarray  # a row a chunk: hash of its first key (0 for the stretch's beginning), number of rows, two sums of row hashes
+
+
+def _run(parts: list[tuple]) -> _Run:
+    ids, hi, lo, cut, h = [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*parts)]
+    with np.errstate(over="ignore"):
+        h = h.astype(np.uint64)
+        mix1 = (h ^ hi.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mix2 = (h * np.uint64(0xC2B2AE3D27D4EB4F)) ^ lo.astype(np.uint64)
+        first = cut.copy()
+        first[0] = True
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(ids)))
+        name = np.where(cut[starts], h[starts] | np.uint64(1), np.uint64(0))
+        digests = np.stack([name, sizes.astype(np.uint64), np.add.reduceat(mix1, starts), np.add.reduceat(mix2, starts)], axis=1)
+    return _Run(ids, hi, lo, sizes, digests)
+
+
+def _digest_rows(run: _Run) -> np.ndarray:
+    return np.ascontiguousarray(run.digests).view([("", np.uint64)] * 4).ravel()
+
+
+def _unmatched(before: _Run | None, after: _Run | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Rows (ids, hi, lo, old) of the chunks of which the other run has no equal."""
+    out = []
+    for run, other, old in ((before, after, True), (after, before, False)):
+        if run is not None:
+            differs = np.ones(len(run.sizes), bool) if other is None else ~np.isin(_digest_rows(run), _digest_rows(other))
+            if differs.any():
+                rows = np.repeat(differs, run.sizes)
+                out.append((run.ids[rows], run.hi[rows], run.lo[rows], old))
+    return out
+
+
 class _Stretch:
-    """Chunks of one source in one task's stretch of keys, run after run."""
+    """One source in one task's stretch of keys, run after run."""
 
     def __init__(self, source, n_runs: int):
         self.source, self.n_runs = source, n_runs
-        self.last_no, self.last, self.current = 0, {}, {}
+        self.last_no, self.last = 0, None
+        self.parts: list[tuple] = []
         self.out: list[tuple] = []
-        self.key, self.parts = "", []
-
-    def close_chunk(self) -> None:
-        """The open chunk's digest: its number of rows and two sums of row hashes that no order changes."""
-        if self.parts:
-            columns = [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*self.parts)]
-            ids, hi, lo, mix1, mix2 = columns
-            self.current[self.key] = ((len(ids), int(np.bitwise_xor.reduce(mix1)), int(np.bitwise_xor.reduce(mix2))), (ids, hi, lo))
-            self.parts = []
-
-    def compare(self, before: dict, after: dict, run_no: int) -> None:
-        for key in before.keys() | after.keys():
-            a, b = before.get(key), after.get(key)
-            if a is not None and b is not None and a[0] == b[0]:
-                continue
-            for x, old in ((a, True), (b, False)):
-                if x is not None:
-                    self.out.append((*x[1], run_no, old))
+
+    def compare(self, before: _Run | None, after: _Run | None, run_no: int) -> None:
+        self.out += [(*x, run_no) for x in _unmatched(before, after)]
 
     def end_run(self, run_no: int) -> None:
-        self.close_chunk()
-        if self.last and run_no > self.last_no + 1:  # a run without rows in this stretch lies between
-            self.compare(self.last, {}, self.last_no + 1)
-            self.last = {}
+        current, self.parts = _run(self.parts), []
+        if self.last is not None and run_no > self.last_no + 1:  # a run without rows in this stretch lies between
+            self.compare(self.last, None, self.last_no + 1)
+            self.last = None
         if run_no > 1:
-            self.compare(self.last, self.current, run_no)
-        self.last, self.last_no, self.current = self.current, run_no, {}
+            self.compare(self.last, current, run_no)
+        self.last, self.last_no = current, run_no
 
     def end(self) -> None:
-        if self.last and self.last_no < self.n_runs:
-            self.compare(self.last, {}, self.last_no + 1)
+        if self.last is not None and self.last_no < self.n_runs:
+            self.compare(self.last, None, self.last_no + 1)
 
     def frame(self) -> pd.DataFrame:
         sizes = [len(x[0]) for x in self.out]
         rows = pd.DataFrame({
             "sp_source": self.source,
-            "run_no": np.repeat(np.array([x[3] for x in self.out], "int32"), sizes),
+            "run_no": np.repeat(np.array([x[4] for x in self.out], "int32"), sizes),
             "id": np.concatenate([x[0] for x in self.out]),
             "hi": np.concatenate([x[1] for x in self.out]),
             "lo": np.concatenate([x[2] for x in self.out]),
-            "old": np.repeat(np.array([x[4] for x in self.out], bool), sizes),
+            "old": np.repeat(np.array([x[3] for x in self.out], bool), sizes),
         })
         self.out = []
         return rows
@@ -134,13 +165,9 @@ def _compare_chunks(batches):
         if not len(pdf):
             continue
         source, number, runs = pdf["sp_source"].to_numpy(), pdf["run_no"].to_numpy(), pdf["n_runs"].to_numpy()
-        ids, hi, lo, cut = pdf["id"].to_numpy(), pdf["hi"].to_numpy(), pdf["lo"].to_numpy(), pdf["cut"].to_numpy()
-        with np.errstate(over="ignore"):
-            h = pdf["key_hash"].to_numpy().astype(np.uint64)
-            mix1 = (h ^ hi.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mix2 = (h * np.uint64(0xC2B2AE3D27D4EB4F)) ^ lo.astype(np.uint64)
+        columns = [pdf[c].to_numpy() for c in ("id", "hi", "lo", "cut", "key_hash")]
         first = np.ones(len(pdf), bool)
-        first[1:] = (source[1:] != source[:-1]) | (number[1:] != number[:-1]) | cut[1:]
+        first[1:] = (source[1:] != source[:-1]) | (number[1:] != number[:-1])
         starts = np.flatnonzero(first)
         for a, b in zip(starts, np.append(starts[1:], len(pdf))):
             if here is None or source[a] != here.source:
@@ -149,16 +176,11 @@ def _compare_chunks(batches):
                     here.end()
                     if here.out:
                         yield here.frame()
-                here, run_no = _Stretch(source[a], int(runs[a])), int(number[a])
-                here.key = ids[a] if cut[a] else ""
+                here = _Stretch(source[a], int(runs[a]))
             elif number[a] != run_no:
                 here.end_run(run_no)
-                run_no = int(number[a])
-                here.key = ids[a] if cut[a] else ""
-            elif cut[a]:
-                here.close_chunk()
-                here.key = ids[a]
-            here.parts.append((ids[a:b], hi[a:b], lo[a:b], mix1[a:b], mix2[a:b]))
+            run_no = int(number[a])
+            here.parts.append(tuple(c[a:b] for c in columns))
         if here.out:
             yield here.frame()
     if here is not None:
