@@ -4,7 +4,8 @@ Method: an incremental ledger. Records get a canonical key (128-bit hash of the
 punctuation and letter case, with url parameters and JSON keys in order). The ledger keeps, in buckets of
 the key, the number of copies and the earliest representative of each record. Every new batch is aggregated
 first, then full-outer-joined against the ledger's matching buckets: counts are added, the earliest
-representative is retained, and untouched buckets are not read or written.
+representative is retained, and untouched buckets are not read or written. A manifest tells where each bucket's current
+version lies; it is swapped in one step when a batch is done, so a ledger lives on from job to job.
 
 A record that makes up a third of all rows is one row after the aggregation of each task, so nothing is
 skewed there; where copies are listed, hot records go by a broadcast of a bounded number of rows.
@@ -13,17 +14,20 @@ skewed there; where copies are listed, hot records go by a broadcast of a bounde
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltloom.functions.skew import join_counted
+from siltloom.pointer import Pointer
 from siltloom.session import bound_arrow, cut, work_folder
 
 #: Whitespace of every kind (zero-width ones included) and punctuation.
 _STRIP = r"[\s\p{Z}\p{P}\x1c-\x1f\x85\x{200b}\x{2060}\x{feff}]+"
-BUCKETS = 8
+#: Buckets at least, records a bucket on average, and how many times that before a ledger gets more buckets.
+BUCKETS, ROWS, GROWN = 8, 1_000_000, 4
 
 
 def canonical(text: Column) -> Column:
@@ -102,42 +106,61 @@ def json_records(raw: DataFrame) -> DataFrame:
 class Ledger:
     """Counts and earliest representatives of records, in buckets of their key, below one folder.
 
-    Every ``apply`` writes the touched buckets anew in a folder of its own and then points at them, so a
-    failed write leaves the ledger as it was.
+    Every ``apply`` writes the touched buckets anew in a folder of its own and then swaps the manifest (number of
+    buckets and of records, folder of each bucket, name of the last batch), so a failed write leaves the ledger as it was;
+    opened again, by any process, it goes on from there. One writer at a time. Folders that no bucket lies in
+    any more are removed one batch later, when no reader of the manifest before can need them.
     """
 
     COLUMNS = "bucket int, origin string, hi bigint, lo bigint, n_copies bigint, first_key bigint"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
         self.path = path or work_folder(spark, "ledger")
-        self.versions: dict[int, str] = {}
-        self.batches = 0
+        self.pointer = Pointer(spark, self.path, "manifest.json")
+        self.state = self.pointer.read() or {"buckets": buckets, "batches": 0, "rows": 0, "versions": {}, "last": None}
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.col("hi"), F.lit(self.buckets)).cast("int").alias("bucket")
+    @property
+    def buckets(self) -> int:
+        """Number of buckets; chosen by the first batch's size if it was not given, and doubled as the ledger grows."""
+        return self.state["buckets"] or BUCKETS
+
+    @staticmethod
+    def _bucket(buckets: int) -> Column:
+        return F.pmod(F.col("hi"), F.lit(buckets)).cast("int").alias("bucket")
 
     def _at(self, buckets) -> DataFrame:
         paths: dict[str, list[int]] = {}
         for b in buckets:
-            if b in self.versions:
-                paths.setdefault(self.versions[b], []).append(b)
+            if str(b) in self.state["versions"]:
+                paths.setdefault(self.state["versions"][str(b)], []).append(b)
         out = None
         for path, own in paths.items():
-            part = self.spark.read.schema(self.COLUMNS).parquet(path).where(F.col("bucket").isin(own))
+            part = self.spark.read.schema(self.COLUMNS).parquet(f"{self.path}/{path}").where(F.col("bucket").isin(own))
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], self.COLUMNS) if out is None else out
 
-    def apply(self, batch: DataFrame) -> None:
-        """Take in ``origin, row_key, hi, lo`` of new rows. An empty batch changes nothing."""
-        self.batches += 1
-        news = cut(
-            batch.select(self._bucket(), "origin", "hi", "lo", "row_key")
-            .groupBy("bucket", "origin", "hi", "lo")
-            .agg(F.count("*").alias("more"), F.min("row_key").alias("new_key")),
-            "ledger-batch",
-        )
-        touched = [r[0] for r in news.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    def _commit(self, table: DataFrame, touched: list[int], buckets: int, name: str | None) -> None:
+        folder = f"batch-{self.state['batches'] + 1}-{uuid.uuid4().hex}"
+        table.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        before = set(self.state["versions"].values())
+        anew = buckets != self.state["buckets"]
+        replaced = self.state["rows"] if anew else self._at(touched).count()
+        versions = ({} if anew else self.state["versions"]) | dict.fromkeys(map(str, touched), folder)
+        rows = self.state["rows"] - replaced + self.spark.read.schema(self.COLUMNS).parquet(f"{self.path}/{folder}").count()
+        self.state = {"buckets": buckets, "batches": self.state["batches"] + 1, "rows": rows, "versions": versions, "last": name}
+        self.pointer.write(self.state)
+        self.pointer.remove_others(before | set(versions.values()))
+
+    def apply(self, batch: DataFrame, name: str | None = None) -> None:
+        """Take in ``origin, row_key, hi, lo`` of new rows. An empty batch changes nothing, and neither does one with the name of the last."""
+        if name is not None and name == self.state["last"]:
+            return
+        news = cut(batch.groupBy("origin", "hi", "lo").agg(F.count("*").alias("more"), F.min("row_key").alias("new_key")), "ledger-batch")
+        if self.state["buckets"] is None or self.state["rows"] > GROWN * ROWS * self.buckets:
+            self._rebucket(max(news.count(), self.state["rows"]), name)
+        news = news.select(self._bucket(self.buckets), "*")
+        touched = sorted(r[0] for r in news.select("bucket").distinct().collect())  # at most ``buckets`` numbers
         if not touched:
             return
         merged = (
@@ -149,16 +172,23 @@ class Ledger:
                 F.least("first_key", "new_key").alias("first_key"),
             )
         )
-        path = f"{self.path}/batch-{self.batches}"
-        merged.write.partitionBy("bucket").parquet(path)
-        self.versions.update(dict.fromkeys(touched, path))
+        self._commit(merged, touched, self.buckets, name)
+
+    def _rebucket(self, rows: int, name: str | None) -> None:
+        """More buckets, for so many records. Only an outgrown ledger is written anew as a whole."""
+        buckets = max(BUCKETS, -(-rows // ROWS))
+        if self.state["versions"]:
+            table = self.table().drop("bucket").select(self._bucket(buckets), "origin", "hi", "lo", "n_copies", "first_key")
+            self._commit(table, list(range(buckets)), buckets, self.state["last"])
+        else:
+            self.state["buckets"] = buckets
 
     def table(self) -> DataFrame:
         """``bucket, origin, hi, lo, n_copies, first_key`` of all records so far."""
         return self._at(range(self.buckets))
 
 
-def fill_ledger(records: DataFrame, batches: int = 3, buckets: int = BUCKETS) -> Ledger:
+def fill_ledger(records: DataFrame, batches: int = 3, buckets: int | None = None) -> Ledger:
     """A ledger that took in ``records`` in ``batches`` steps by their time of arrival (nulls come first)."""
     ledger = Ledger(records.sparkSession, None, buckets)
     at = F.unix_micros("arrived").cast("double")

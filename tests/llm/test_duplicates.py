@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from siltloom.llm.format_duplicates import Ledger, all_records, copies, distinct_records, fill_ledger, format_duplicates, teaser_records
 
 T0 = datetime(2024, 1, 1)
@@ -52,14 +55,39 @@ def test_ledger_equals_one_count_and_hot_records(spark):
 def test_ledger_leaves_other_buckets(spark):
     ledger = Ledger(spark, None, 64)
     ledger.apply(teaser_records(teasers(spark, *[(f"u{i}", "t", None) for i in range(200)])))
-    before = dict(ledger.versions)
+    before = dict(ledger.state["versions"])
     ledger.apply(teaser_records(teasers(spark, ("u3", "T", None))))
-    assert sum(before[b] != v for b, v in ledger.versions.items()) == 1
+    assert sum(before[b] != v for b, v in ledger.state["versions"].items()) == 1
     assert sorted(x["n_copies"] for x in ledger.table().collect())[-2:] == [1, 2]
     ledger.apply(teaser_records(teasers(spark)))
     assert ledger.table().count() == 200
 
 
+def test_ledger_lives_on(spark, tmp_path, monkeypatch):
+    """Opened again it goes on; a batch told by name counts once; a failed write changes nothing; buckets grow; old versions go."""
+    from siltloom.llm import format_duplicates as fd
+
+    monkeypatch.setattr(fd, "ROWS", 20)
+    path = f"file://{tmp_path}/ledger"
+    rows = [(f"u{i % 150}", "t", None) for i in range(400)]
+    for i in range(0, 400, 80):
+        batch = teaser_records(teasers(spark, *rows[i : i + 80])).withColumn("row_key", F.col("row_key") + i)
+        Ledger(spark, path).apply(batch, f"batch {i}")
+        Ledger(spark, path).apply(batch, f"batch {i}")
+    ledger = Ledger(spark, path)
+    assert sorted((x["first_key"], x["n_copies"]) for x in ledger.table().collect()) == sorted((i + 1, len(range(i, 400, 150))) for i in range(150))
+    assert ledger.state["batches"] == 5 and ledger.state["rows"] == 150 and ledger.buckets == 8
+    with pytest.raises(Exception):
+        ledger.apply(batch.select("origin", "row_key", "hi", F.raise_error(F.lit("no")).cast("bigint").alias("lo")))
+    assert Ledger(spark, path).table().count() == 150
+    Ledger(spark, path).apply(teaser_records(teasers(spark, *[(f"v{i}", "t", None) for i in range(700)])))
+    Ledger(spark, path).apply(teaser_records(teasers(spark, ("u1", "t", None))).withColumn("row_key", F.lit(5000).cast("bigint")))
+    ledger = Ledger(spark, path)
+    assert ledger.buckets == 43 and ledger.table().count() == 850 and ledger.table().agg(F.sum("n_copies")).first()[0] == 1101
+    folders = {x.name for x in (tmp_path / "ledger").iterdir() if x.is_dir()}
+    assert set(ledger.state["versions"].values()) <= folders and len(folders) <= 3
+
+
 def test_empty(spark):
     assert format_duplicates(teasers(spark), raw(spark)).count() == 0
     assert format_duplicates(teasers(spark, ("u", "x" * 500_000, None), ("u", "X" * 500_000, None)), raw(spark)).count() == 1
