@@ -1,22 +1,23 @@
 """Text cut off by field limits or in transfer (problem 6).
 
-Method: a structural completeness check with a stack automaton finds markup, entities, escapes and
-multibyte sequences that were broken off, and brackets and quotes left open. Values that lack a terminator
-are held against a baseline: over all values it is counted how often the last words go on elsewhere, how
-often a longer word stands in their place, and how often a text ends with them; the source's own cap (given,
-or told by the heap of lengths at it) decides about marks of omission.
-
-Plan: equal values are judged once, and given to their rows by a join in which hot values are broadcast
-(a bounded number); the counts are combined in each task before they are shuffled.
+Method: a structural completeness check decides first: a stack automaton finds markup, entities, escapes and multibyte
+sequences that were broken off, and brackets and quotes left open. Then missing terminators decide against the baseline
+of the source: how its texts end, and its own cap (given, or told by the heap of lengths at it). Only what is still
+undecided, mostly titles, which have no terminators, is held against the corpus: how often the last words go on
+elsewhere, how often a longer word stands in their place, and how often a text ends with them.
+
+Plan: equal values are judged once, and given to their rows by a join from which hot values are taken out. Words in
+their contexts are 64-bit keys; a bitmap of the keys that are asked for goes to the tasks, which count only these,
+in arrays, before anything is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
-from collections import Counter
+from html.entities import name2codepoint
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,14 +30,16 @@ from siltloom.session import bound_arrow, cut, small_side, spread
 FIELDS = ("title", "introtext")
 _TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)>")
-#: Ends that are broken in themselves: a tag, entity, escape or multibyte sequence begun and not ended.
-_BROKEN = re.compile(r"(?:<(?:[a-zA-Z/!][^<>]*)?|&(?:[a-zA-Z]{1,8}|#[xX]?[0-9a-fA-F]{0,6})?|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|(?:%[0-9A-Fa-f]{2})+%[0-9A-Fa-f]?|�+|[\ud800-\udfff]|[ÂÃ])\Z")
+#: Ends that are broken in themselves: a tag, escape or multibyte sequence begun and not ended; an entity only if it begins as one does.
+_BROKEN = re.compile(r"(?:<(?:[a-zA-Z/!][^<>]*)?|&#[xX]?[0-9a-fA-F]{0,6}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|(?:%[0-9A-Fa-f]{2})+%[0-9A-Fa-f]?|�+|[\ud800-\udfff]|[ÂÃ])\Z")
+_ENTITY = re.compile(r"(?P<before>\w*)&(?P<name>[a-zA-Z]{0,8})\Z")
 _MARK = re.compile(r"(?:\.\s?\.\s?\.|…|\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\))[\s\"”“»')\]]*\Z")
 _STOP = re.compile(r"[.!?。][\s\"”“»«’')\]]*\Z")
 _AFTER_STOP = re.compile(r"[.!?](?:[\s\"”“»«’')\]]|\Z)")
 #: An end that closes a structure.
 _CLOSERS = frozenset("})]%#@“”»\"_>")
 _FORMAT = re.compile(r"%\([^()]*\)[sdf]\Z")
+_ORDINAL = re.compile(r"\d\.\W*\Z")
 _OPENED = re.compile(r"[.!?]\s+[«„“(\[]\s*\Z")
 #: Lengths over which values cut at a word's end heap up below a cap.
 SPREAD = 16
@@ -44,10 +47,10 @@ SPREAD = 16
 STOPPED = 0.05
 _VOID = frozenset(("br", "hr", "img", "input", "wbr"))
 _PAIRS = {")": "(", "]": "[", "}": "{", "“": "„", "»": "«", "”": "“"}
-#: Bits of the bitmap of asked contexts: at least and at most (16 MB).
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
-#: Combinations counted from the tasks before they are handed on.
-_FLUSH = 400_000
+#: Bits of the bitmap of asked keys: at least, at most (16 MB), and for each key.
+MIN_BITS, MAX_BITS, BITS_A_KEY = 1 << 20, 1 << 27, 16
+#: Distinct words a worker keeps; beyond this number its store starts anew.
+MAX_KNOWN = 200_000
 #: A heap of lengths is a cap when it has this share of the values, and this many times the lengths around it.
 _HEAP_SHARE, _HEAP_TIMES = 0.02, 4.0
 
@@ -77,6 +80,23 @@ def open_structure(text: str) -> tuple[bool, bool]:
     return bool(tags), bool(stack)
 
 
+def broken_end(bare: str) -> int | None:
+    """Where an end that is broken in itself begins; None for a whole end.
+
+    Letters after "&" are a begun entity only if one begins so, and if the sign stands in a word ("gr&uu") or two letters
+    follow ("&nb"); names as "R&B", "H&M" or "b&b" and a lone "&" between words are whole.
+    """
+    if m := _BROKEN.search(bare):
+        return m.start()
+    tail = bare[-40:]
+    if "&" in tail[-9:] and (m := _ENTITY.search(tail)):
+        before, name = m["before"], m["name"]
+        inside = before[-1:].islower() and len(before) + len(name) > 2
+        if (inside or (len(name) > 1 and not before)) and (not name or any(e.startswith(name) for e in name2codepoint)):
+            return len(bare) - len(tail) + m.end("before")
+    return None
+
+
 def name_set(names: tuple[str, ...]) -> frozenset[str]:
     """Site names as words, so that texts that differ in the name alone are one witness of their form."""
     return frozenset(n.casefold() for n in names)
@@ -84,150 +104,225 @@ def name_set(names: tuple[str, ...]) -> frozenset[str]:
 
 def tokens(text: str, names: frozenset[str] = frozenset()) -> tuple[list[str], list[bool]]:
     """Lower-case words, numbers (each is "9") and site names (each is "@"), and whether a sentence ends after each."""
-    words, stops = [], []
-    at = None
-    for m in _TOKEN.finditer(text):
-        w = m[0]
-        c = w[0]
-        if at is not None:
-            if words[-1] == "9" or c.isdigit() or c.islower():  # as after an abbreviation
-                stops.append(False)
-            else:
-                stops.append(m.start() - at > 1 and _AFTER_STOP.search(text, at, m.start()) is not None)
-        w = "9" if c.isdigit() else w.casefold()
-        words.append("@" if w in names else w)
-        at = m.end()
-    if words:
-        stops.append(False)
-    return words, stops
-
-
-def _from_start(words: list[str], stops: list[bool]) -> list[str]:
-    """For each word of the first sentence, a digest of all words before it."""
-    out, h = [], hashlib.blake2b(digest_size=8)
-    for w, stop in zip(words, stops):
-        out.append(h.hexdigest())
-        if stop:
-            break
-        h.update(w.encode("utf-8", "surrogatepass") + b" ")
-    return out
-
-
-def shape(text: str, names: frozenset[str] = frozenset()) -> dict:
+    raw = _TOKEN.findall(text)
+    words = ["9" if w[0].isdigit() else w.casefold() for w in raw]
+    stops = [False] * len(raw)
+    for i in _stops(text, raw):
+        stops[i] = True
+    return ["@" if w in names else w for w in words], stops
+
+
+def _stops(text: str, raw: list[str]) -> list[int]:
+    """The words after which a sentence ends; not before lower case or numbers, as after abbreviations, nor after numbers."""
+    gaps = _TOKEN.split(text)
+    return [
+        i - 1
+        for i in range(1, len(raw))
+        if len(gaps[i]) > 1 and not raw[i - 1][0].isdigit() and not raw[i][0].isdigit() and not raw[i][0].islower() and _AFTER_STOP.search(gaps[i])
+    ]
+
+
+def _without_end(text: str) -> tuple[str, bool, bool]:
+    """(the text that is counted, marked, stopped): markup, broken ends and marks of omission are out."""
+    bare = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
+    at = broken_end(bare)
+    if at is not None:
+        bare = bare[:at]
+    marked = _MARK.search(bare) is not None
+    stopped = not marked and _STOP.search(bare) is not None
+    return (_MARK.sub("", bare) if marked else bare), marked, stopped
+
+
+def shape(text: str) -> dict:
     """What is judged of one value."""
-    plain = _TAG.sub(" ", text)
-    bare = plain.strip()
-    broken = _BROKEN.search(bare) is not None or _OPENED.search(bare) is not None
-    if broken:
-        bare = _BROKEN.sub("", bare)
-    mark = _MARK.search(bare) is not None
-    body = _MARK.sub("", bare) if mark else bare
-    words, stops = tokens(body, names)
-    start = _from_start(words, stops)
-    stop = not mark and _STOP.search(bare) is not None
-    if stop and words and words[-1] == "9" and re.search(r"\d\.\W*\Z", bare):
-        stop = False  # an ordinal number, not the end of a sentence
+    bare = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
+    broken = broken_end(bare) is not None or _OPENED.search(bare) is not None
+    body, mark, stop = _without_end(text)
     tag_open, quote_open = open_structure(text)
-    return {
-        "broken": broken, "mark": mark, "stop": stop, "tag_open": tag_open, "closed": not mark and not quote_open and bare != "" and (bare[-1] in _CLOSERS or _FORMAT.search(bare) is not None), "quote_open": quote_open, "w": words[-1] if words else "",
-        "c1": words[-2] if len(words) > 1 else "^", "c2": words[-3] if len(words) > 2 else "^", "c9": start[-1] if words and len(start) == len(words) else None,
-    }
+    raw = _TOKEN.findall(body)
+    number = bool(raw) and raw[-1][0].isdigit()
+    if stop and number and _ORDINAL.search(body):
+        stop = False  # an ordinal number, not the end of a sentence
+    closed = not mark and not quote_open and body != "" and (body[-1] in _CLOSERS or _FORMAT.search(body) is not None)
+    return {"broken": broken, "mark": mark, "stop": stop, "tag_open": tag_open, "closed": closed, "quote_open": quote_open, "w": "" if not raw else "9" if number else raw[-1].casefold()}
+
+
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+_U = np.uint64
+_BEFORE = _U(_hash("^"))
+_POWER = _U(0x9E3779B97F4A7C15)
+
+
+def _keys(level: int, w, c1=_U(0), c2=_U(0)):
+    """64-bit keys of words in contexts; arrays of word hashes."""
+    with np.errstate(over="ignore"):
+        x = w * _U(0xC2B2AE3D27D4EB4F) + (c1 * _U(0x165667B19E3779F9) ^ (c2 * _U(0x27D4EB2F165667C5) + _U(level + 1) * _POWER))
+        x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        return x ^ (x >> _U(29))
+
+
+class Words:
+    """Hashes and kinds of the distinct words met in a worker, by number."""
+
+    def __init__(self, names: frozenset[str], wanted=None):
+        self.names, self.wanted = names, wanted
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.endings: list[int] = []  # hash of the last four letters, 0 for short words
+        self.own: list[int] = []  # hash of a site name itself, 0 for others
+        self.begun: list[tuple[int, ...]] = []  # hashes of the word's beginnings that are asked for
+
+    def number(self, raw: str) -> int:
+        n = self.numbers.get(raw)
+        if n is None:
+            w = "9" if raw[0].isdigit() else raw.casefold()
+            name = w in self.names
+            n = self.numbers[raw] = len(self.hashes)
+            self.hashes.append(_hash("@" if name else w))
+            self.own.append(_hash(w) if name else 0)
+            self.endings.append(_hash(w[-4:]) if len(w) > 4 and not name else 0)
+            begun: tuple[int, ...] = ()
+            if self.wanted is not None and len(w) > 1:
+                h, heads = hashlib.blake2b(digest_size=8), []
+                for c in w[:-1]:
+                    h.update(c.encode("utf-8", "surrogatepass"))
+                    heads.append(int.from_bytes(h.copy().digest(), "little"))
+                heads = np.array(heads, _U)
+                begun = tuple(heads[self.wanted(_keys(1, heads))].tolist())
+            self.begun.append(begun)
+        return n
+
+    def flat(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """All words of ``texts`` in one row: ``w`` (number), ``text``, ``h``, ``c1``, ``c2``, ``start`` (hash of all words before), ``stop``, ``first`` (in the first sentence), ``last``."""
+        if len(self.numbers) > MAX_KNOWN:
+            self.clear()
+        known, numbers, sizes, stops = self.numbers, [], [], []
+        for text in texts:
+            raw = _TOKEN.findall(text)
+            at = len(numbers)
+            numbers += [n if (n := known.get(r)) is not None else self.number(r) for r in raw]
+            stops += [at + i for i in _stops(text, raw)]
+            sizes.append(len(raw))
+        sizes = np.array(sizes, np.int64)
+        w = np.array(numbers, np.int64)
+        h = np.array(self.hashes, _U)[w] if len(w) else np.zeros(0, _U)
+        begins = np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(w)) - begins[text] if len(w) else w
+        c1, c2 = np.full(len(w), _BEFORE), np.full(len(w), _BEFORE)
+        c1[1:] = np.where(place[1:] > 0, h[:-1], _BEFORE)
+        c2[2:] = np.where(place[2:] > 1, h[:-2], _BEFORE)
+        stop = np.zeros(len(w), bool)
+        stop[stops] = True
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(sizes.max()) if len(sizes) else 0, _POWER))
+            terms = h * powers[place] if len(w) else h
+            sums = np.cumsum(terms, dtype=_U) - terms
+            start = sums - sums[begins[text]] if len(w) else h
+        ended = np.cumsum(stop) - stop
+        first = ended == ended[begins[text]] if len(w) else stop
+        last = place == sizes[text] - 1 if len(w) else stop
+        return {"w": w, "text": text, "h": h, "c1": c1, "c2": c2, "start": start, "stop": stop, "first": first, "last": last}
 
 
 def _asked_bits(asked: DataFrame) -> tuple[bytes, int]:
-    """(bitmap, bits): which contexts are asked for, by a checksum. It never misses one and has at most ``MAX_BITS`` bits.
+    """(bitmap, bits) of the keys ``q``. It never misses one and has at most ``MAX_BITS`` bits.
 
-    So the counting passes over contexts of which nobody wants to know; where more are asked for than the bitmap
-    can tell apart, more is counted, and the result is the same.
+    Tasks pass over keys of which nobody wants to know; where more are asked for than the bitmap can tell apart,
+    more is counted, and the result is the same.
     """
-    contexts = cut(asked.where("level >= 2").select("level", "ctx").distinct(), "p6-contexts")
-    n, bits = contexts.count(), MIN_BITS
-    while bits < MAX_BITS and bits < 64 * n:
-        bits *= 4
-    bits = min(bits, MAX_BITS)
-    bit = F.pmod(F.crc32(F.encode(F.concat(F.col("level").cast("string"), F.lit(" "), F.col("ctx")), "UTF-8")), F.lit(bits)) + 1  # numbered from 1, as the functions do
-    parts = contexts.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bytes"))
+    n, bits = asked.count(), MIN_BITS
+    while bits < MAX_BITS and bits < BITS_A_KEY * n:
+        bits *= 2
+    bit = F.col("q").bitwiseAND(F.lit(bits - 1)) + 1  # numbered from 1, as the functions do
+    parts = asked.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bytes"))
     out = bytearray(bits // 8)
     for part, chunk in parts.collect():  # at most MAX_BITS / 8 bytes in all
         out[(part - 1) * 4096 : (part - 1) * 4096 + len(chunk)] = chunk
     return bytes(out), bits
 
 
-def _counter(names: tuple[str, ...], shared, bits: int):
-    """Counts words in their contexts: level (4: all words before, 1 to 3: so many less one; 0: endings of words)."""
+def _summed(q: list, counts: list[list]) -> pd.DataFrame:
+    """One row a key."""
+    q = np.concatenate(q)
+    keys, at = np.unique(q, return_inverse=True)
+    out = {"q": keys.view(np.int64)}
+    for name, parts in zip(("mid", "eos", "end", "pre"), counts):
+        out[name] = np.bincount(at, np.concatenate(parts), len(keys)).astype(np.int64)
+    return pd.DataFrame(out)
 
-    def run(batches):
-        known = name_set(names)
-        asked = shared.value
 
-        def wanted(level: str, ctx: str) -> bool:
-            b = zlib.crc32((level + ctx).encode("utf-8", "surrogatepass")) % bits
-            return asked[b >> 3] >> (b & 7) & 1 == 1
+def _counter(names: tuple[str, ...], shared, bits: int):
+    """Counts asked words in their contexts (levels: 4: all words before, 3, 2, 1: two, one, none; 0: endings of words)."""
 
-        counts: Counter = Counter()
+    def run(batches):
+        asked = np.frombuffer(shared.value, np.uint8)
 
-        def frame():
-            rows = [(lv, c, w, n if k == 0 else 0, n if k == 1 else 0, n if k == 2 else 0) for (lv, c, w, k), n in counts.items()]
-            counts.clear()
-            return pd.DataFrame(rows, columns=["level", "ctx", "w", "mid", "eos", "end"])
+        def wanted(q):
+            b = q & _U(bits - 1)
+            return asked[b >> _U(3)] >> (b & _U(7)).astype(np.uint8) & 1 == 1
 
+        known = Words(name_set(names), wanted)
+        nine = _U(_hash("9"))
         for pdf in batches:
-            for text, records in zip(pdf["value"], pdf["records"]):
-                bare = _TAG.sub(" ", text).strip()
-                if _BROKEN.search(bare):
-                    bare = _BROKEN.sub("", bare)
-                marked = _MARK.search(bare) is not None
-                stopped = not marked and _STOP.search(bare) is not None
-                bare = _MARK.sub("", bare) if marked else bare
-                words, stops = tokens(bare, known)
-                last = len(words) - 1
-                a, b = "^", "^"
-                start = _from_start(words, stops)
-                for i, w in enumerate(words):
-                    kind = (1 if stopped and w != "9" else 2) if i == last else 1 if stops[i] else 0
-                    if i < len(start) and wanted("4 ", start[i]):
-                        counts[4, start[i], w, kind] += int(records) if kind == 2 else 1
-                    if wanted("2 ", b):
-                        counts[2, b, w, kind] += 1
-                        if wanted("3 ", pair := a + " " + b):
-                            counts[3, pair, w, kind] += 1
-                    counts[1, "", w, kind] += 1
-                    if kind != 2 and len(w) > 4:
-                        counts[0, "", w[-4:], 0] += 1
-                    a, b = b, w
-                if "@" in words:
-                    for w in _TOKEN.findall(bare):
-                        if (w := w.casefold()) in known:
-                            counts[1, "", w, 0] += 1
-            if len(counts) > _FLUSH:
-                yield frame()
-        yield frame()
+            ends = [_without_end(x) for x in pdf["value"]]
+            stopped = np.array([x[2] for x in ends], bool)
+            records = pdf["records"].to_numpy().astype(float)
+            t = known.flat([x[0] for x in ends])
+            text, h, c1, c2, start, first = (t[k] for k in ("text", "h", "c1", "c2", "start", "first"))
+            eos = np.where(t["last"], stopped[text] & (h != nine), t["stop"])
+            end = t["last"] & ~eos
+            mid = ~eos & ~end
+            keys, counts = [], [[], [], [], []]
+
+            def add(q, n_mid, n_eos, n_end, n_pre):
+                hit = wanted(q)
+                if hit.any():
+                    keys.append(q[hit])
+                    for into, n in zip(counts, (n_mid, n_eos, n_end, n_pre)):
+                        into.append(np.broadcast_to(n, len(q))[hit].astype(float))
+
+            one = np.ones(len(h))
+            add(_keys(1, h), mid, eos, end, 0)
+            add(_keys(2, h, c1), mid, eos, end, 0)
+            add(_keys(3, h, c1, c2), mid, eos, end, 0)
+            add(_keys(4, h[first], start[first]), mid[first], eos[first], end[first] * records[text[first]], 0)
+            endings, own = np.array(known.endings, _U)[t["w"]], np.array(known.own, _U)[t["w"]]
+            add(_keys(0, endings[(endings > 0) & ~end]), one[(endings > 0) & ~end], 0, 0, 0)
+            add(_keys(1, own[own > 0]), one[own > 0], 0, 0, 0)
+            # the beginnings of each word that are asked for, in the word's contexts
+            many = np.array([len(x) for x in known.begun], np.int64)[t["w"]]
+            many[end & (own == 0)] = 0  # a site name stands for all names in its contexts, and for itself without one
+            if many.sum():
+                heads = np.array([x for i in t["w"][many > 0] for x in known.begun[i]], _U)
+                at = np.repeat(np.flatnonzero(many), many[many > 0])
+                add(_keys(1, heads), 0, 0, 0, 1)
+                heads, at = heads[own[at] == 0], at[own[at] == 0]
+                add(_keys(2, heads, c1[at]), 0, 0, 0, 1)
+                add(_keys(3, heads, c1[at], c2[at]), 0, 0, 0, 1)
+                add(_keys(4, heads[first[at]], start[at][first[at]]), 0, 0, 0, 1)
+            if keys:
+                yield _summed(keys, counts)
 
     return run
 
 
-def context_counts(values: DataFrame, asked: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
-    """``level, ctx, w, mid, eos, end, pre`` of the contexts in ``asked`` (and perhaps others; hashed) over distinct values (``value``, and ``records`` that have it).
+def key_counts(values: DataFrame, asked: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """``q, mid, eos, end, pre`` of the keys in ``asked`` (``q``, distinct) over distinct values (``value``, and ``records`` that have it).
 
     ``mid``: the text goes on, ``eos``: a sentence ends, ``end``: the value ends without a stop, ``pre``: a longer
-    word that begins with ``w`` stands in the same context.
+    word that begins with the word stands in its place.
     """
-    columns = ["mid", "eos", "end"]
     bitmap, bits = _asked_bits(asked)
     shared = values.sparkSession.sparkContext.broadcast(bitmap)
-    seen = cut(
-        spread(values.select("value", "records")).mapInPandas(_counter(names, shared, bits), "level int, ctx string, w string, mid bigint, eos bigint, end bigint").withColumn("ctx", F.xxhash64("ctx")).groupBy("level", "ctx", "w").agg(*[F.sum(c).alias(c) for c in columns]),
-        "p6-seen",
-    )
-    longer = (
-        seen.where("level > 0 and length(w) between 2 and 40 and mid + eos > 0")
-        .select("level", "ctx", (F.col("mid") + F.col("eos")).alias("pre"), F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w"))
-        .groupBy("level", "ctx", "w")
-        .agg(F.sum("pre").alias("pre"))
-    )
-    exact = seen.withColumn("pre", F.lit(0).cast("bigint"))
-    begun = longer.select("level", "ctx", "w", *[F.lit(0).cast("bigint").alias(c) for c in columns], "pre")
-    return exact.unionByName(begun).groupBy("level", "ctx", "w").agg(*[F.sum(c).alias(c) for c in [*columns, "pre"]])
+    counted = spread(values.select("value", "records")).mapInPandas(_counter(names, shared, bits), "q bigint, mid bigint, eos bigint, end bigint, pre bigint")
+    return counted.groupBy("q").agg(*[F.sum(c).alias(c) for c in ("mid", "eos", "end", "pre")])
 
 
 def caps(values: DataFrame, sites: DataFrame) -> DataFrame:
@@ -254,55 +349,75 @@ def caps(values: DataFrame, sites: DataFrame) -> DataFrame:
 
 def baselines(shaped: DataFrame) -> DataFrame:
     """``sp_source, field, stopped``: the share of values with a sentence's end in them that end with a terminator or mark."""
-    sentences = shaped.where("(stop or mark or c9 is null) and w <> ''")
+    sentences = shaped.where("(stop or mark or not one_sentence) and w <> ''")
     return sentences.groupBy("sp_source", "field").agg(F.avg((F.col("stop") | F.col("mark")).cast("double")).alias("stopped"))
 
 
+_SHAPED = (
+    "hi bigint, lo bigint, k bigint, n bigint, sp_source string, field string, broken boolean, mark boolean, stop boolean, tag_open boolean, closed boolean, quote_open boolean, w string, "
+    "one_sentence boolean, q0 bigint, q1 bigint, q2 bigint, q3 bigint, q4 bigint, len int"
+)
+
+
+def _shaper(names: tuple[str, ...]):
+    def run(batches):
+        known = Words(name_set(names))
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            shapes = pd.DataFrame([shape(v) for v in pdf["value"]], columns=["broken", "mark", "stop", "tag_open", "closed", "quote_open", "w"])
+            # words only of those that a terminator does not settle
+            open_ = np.flatnonzero(~shapes["stop"].to_numpy(bool) & (shapes["w"] != "").to_numpy(bool))
+            t = known.flat([_without_end(pdf["value"][i])[0] for i in open_])
+            last = np.flatnonzero(t["last"])
+            at = open_[t["text"][last]]
+            h, c1, c2, start, first = (t[k][last] for k in ("h", "c1", "c2", "start", "first"))
+            shapes["one_sentence"] = True
+            shapes.loc[at, "one_sentence"] = first
+            ending = np.array([_hash(w[-4:]) for w in shapes["w"][at]], _U)
+            for i, q in enumerate((_keys(0, ending), _keys(1, h), _keys(2, h, c1), _keys(3, h, c1, c2), _keys(4, h, start))):
+                column = np.zeros(len(pdf), np.int64)
+                column[at] = q.view(np.int64)
+                shapes[f"q{i}"] = column
+            yield pd.concat([pdf[["hi", "lo", "k", "n", "sp_source", "field"]], shapes, pdf["value"].str.len().astype("int32").rename("len")], axis=1)
+
+    return run
+
+
 def judge_values(teasers: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with the key of their value, judged values ``hi, lo, n, is_cut``)."""
+    """(rows with the key of their value, judged values ``hi, lo, n, is_cut, step``; ``step``: what decided)."""
     bound_arrow(teasers.sparkSession, 5000)
     names = _registry_names(sites)
     long = teasers.select("teaser_id", "sp_source", F.xxhash64(canonical_url(F.col("url"))).alias("record"), F.explode(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))).alias("field", "value")).where("trim(value) <> ''")
     key = [F.xxhash64(F.lit(s), "field", F.coalesce("sp_source", F.lit("")), "value") for s in (1, 2)]
     rows = long.select("teaser_id", "sp_source", "field", key[0].alias("hi"), key[1].alias("lo"), "value", "record")
-    each = rows.groupBy("hi", "lo", "sp_source", "field", "value", "record").agg(F.count("*").alias("n"))
+    # records that have a value are counted by the bits they set among 64: enough to know one from several
+    bits = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(record, 64) as int))")))
+    records = F.greatest(F.lit(1), F.round(-64 * F.log(1 - F.least(bits, F.lit(63)) / 64)))
     values = cut(
-        each.groupBy("hi", "lo", "sp_source", "field", "value")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("records"))
+        rows.groupBy("hi", "lo", "sp_source", "field", "value")
+        .agg(F.count("*").alias("n"), records.cast("bigint").alias("records"))
         .withColumn("k", F.xxhash64("field", canonical(F.regexp_replace("value", "<[^<>]*>", " ")))),
         "p6-values",
     )
-
-    def run(batches):
-        known = name_set(names)
-        for pdf in batches:
-            shapes = pd.DataFrame([shape(v, known) for v in pdf["value"]], columns=["broken", "mark", "stop", "tag_open", "closed", "quote_open", "w", "c1", "c2", "c9"])
-            yield pd.concat([pdf[["hi", "lo", "k", "n", "sp_source", "field"]].reset_index(drop=True), shapes, pdf["value"].str.len().astype("int32").rename("len").reset_index(drop=True)], axis=1)
-
-    shaped = spread(values).mapInPandas(
-        run, "hi bigint, lo bigint, k bigint, n bigint, sp_source string, field string, broken boolean, mark boolean, stop boolean, tag_open boolean, closed boolean, quote_open boolean, w string, c1 string, c2 string, c9 string, len int"
-    )
-    shaped = cut(shaped, "p6-shapes")
+    shaped = cut(spread(values).mapInPandas(_shaper(names), _SHAPED), "p6-shapes")
+    limit = small_side(caps(values, sites).join(baselines(shaped), ["sp_source", "field"], "full_outer"), "p6-caps")
+    first = shaped.join(limit, ["sp_source", "field"], "left").withColumn("early", _by_structure_and_baseline())
+    first = cut(first, "p6-first")
+    undecided = first.where("early is null")
+    # texts that have a stop in another row are whole
+    whole = shaped.where("stop").join(undecided.where("not mark").select("k"), "k", "left_semi").select("k").distinct().withColumn("whole", F.lit(True))
+    each = [F.struct(F.lit(lv).alias("level"), F.col(f"q{lv}").alias("q")) for lv in range(4)] + [F.when(F.col("one_sentence"), F.struct(F.lit(4).alias("level"), F.col("q4").alias("q")))]
+    asked = undecided.select("hi", "lo", F.explode(F.array_compact(F.array(*each))).alias("x")).select("hi", "lo", "x.level", "x.q")
+    keys = cut(asked.groupBy("q").agg(F.count("*").alias("asked")), "p6-keys")
     # formatting variants of one value are one witness
     witnesses = values.groupBy("k").agg(F.first("value").alias("value"), F.sum("records").alias("records"))
-    asked = shaped.where("not stop and w <> ''").select(
-        "hi", "lo",
-        F.explode(F.array(*[
-            F.struct(F.lit(lv).alias("level"), c.alias("ctx"), w.alias("w"))
-            for lv, c, w in ((4, F.col("c9"), F.col("w")), (3, F.concat_ws(" ", "c2", "c1"), F.col("w")), (2, F.col("c1"), F.col("w")), (1, F.lit(""), F.col("w")), (0, F.lit(""), F.substring("w", -4, 4)))
-        ])).alias("q"),
-    ).select("hi", "lo", "q.level", "q.ctx", "q.w").where("ctx is not null")
-    counts = context_counts(witnesses, asked, names)
-    asked = cut(asked.withColumn("ctx", F.xxhash64("ctx")), "p6-asked")
-    keys = asked.groupBy("level", "ctx", "w").agg(F.count("*").alias("asked"))
-    answers = cut(keys.join(counts, ["level", "ctx", "w"]), "p6-answers")
-    answered = join_counted(asked, answers, ["level", "ctx", "w"], "asked", 5 * shaped.count())
+    answers = cut(keys.join(key_counts(witnesses, keys.select("q"), names), "q"), "p6-answers")
+    answered = join_counted(asked, answers, ["q"], "asked", 5 * undecided.count())
     per = {lv: F.max(F.when(F.col("level") == lv, F.struct("mid", "eos", "end", "pre"))).alias(f"l{lv}") for lv in range(5)}
     evidence = answered.groupBy("hi", "lo").agg(*per.values())
-    limit = small_side(caps(values, sites).join(baselines(shaped), ["sp_source", "field"], "full_outer"), "p6-caps")
-    whole = shaped.where("stop").select("k").distinct().withColumn("whole", F.lit(True))  # texts that have a stop in another row
-    joined = shaped.join(evidence, ["hi", "lo"], "left").join(whole, "k", "left").join(limit, ["sp_source", "field"], "left")
-    return rows.drop("value", "record"), cut(joined.select("hi", "lo", "n", _is_cut().alias("is_cut")), "p6-judged")
+    late = undecided.join(evidence, ["hi", "lo"], "left").join(whole, "k", "left").select("hi", "lo", "n", _by_contexts().alias("is_cut"), F.lit("contexts").alias("step"))
+    early = first.where("early is not null").select("hi", "lo", "n", F.col("early.is_cut"), F.col("early.step"))
+    return rows.drop("value", "record"), cut(early.unionByName(late), "p6-judged")
 
 
 #: A text ends naturally where the ends seen elsewhere are at least this share of the places where it goes on.
@@ -314,8 +429,29 @@ LONG = 60
 SURE = 100
 
 
-def _is_cut():
-    """The decision, as one expression over the shape, the evidence and the cap."""
+def _near_cap():
+    return F.coalesce((F.col("len") >= F.col("cap") - 20) & (F.col("len") <= F.col("cap") + 3), F.lit(False))
+
+
+def _at_cap():
+    return F.coalesce(F.col("len") == F.col("cap"), F.lit(False))
+
+
+def _by_structure_and_baseline():
+    """``is_cut, step`` of what the automaton's end state or the terminators and cap of the source decide, else null."""
+    said = lambda cut_, step: F.struct(F.lit(cut_).alias("is_cut"), F.lit(step).alias("step"))
+    intro = F.col("field") == "introtext"
+    return (
+        F.when(F.col("broken") | F.col("tag_open") | (F.col("quote_open") & ~F.col("stop")), said(True, "structure"))
+        .when(F.col("mark") & _near_cap(), said(True, "baseline"))
+        .when(~F.col("mark") & (F.col("stop") | F.col("closed") | (F.col("w") == "")), said(False, "structure"))
+        # where texts end with a stop, one of several sentences or of just the cap's length that has none was cut
+        .when(~F.col("mark") & intro & (F.col("stopped") >= STOPPED) & (~F.col("one_sentence") | (_at_cap() & (F.col("len") >= LONG))), said(True, "baseline"))
+    )
+
+
+def _by_contexts():
+    """The decision about the rest, as one expression over the evidence and the cap."""
     zero = F.lit(0)
 
     def level(n: int, least: int):
@@ -332,19 +468,8 @@ def _is_cut():
     g4 = lambda c: F.coalesce(F.col(f"l4.{c}"), zero)
     alone = (g4("end") + g4("eos") > 3) & (g4("mid") + g4("pre") == 0)  # a text found again and again, and never longer
     natural = F.when(begun & ~alone, 0.0).otherwise(natural)
-    intro, first_sentence = F.col("field") == "introtext", F.col("c9").isNotNull()
-    near_cap = F.coalesce((F.col("len") >= F.col("cap") - 20) & (F.col("len") <= F.col("cap") + 3), F.lit(False))
-    at_cap = F.coalesce(F.col("len") == F.col("cap"), F.lit(False))
-    needed = F.when(F.col("quote_open") | (near_cap & intro) | at_cap, 10 * NATURAL).otherwise(NATURAL)
-    return (
-        F.when(F.col("broken") | F.col("tag_open"), True)
-        .when(F.col("mark"), near_cap | (natural < needed))
-        .when(F.col("stop") | F.col("closed") | F.col("whole"), False)
-        .when(F.col("w") == "", False)
-        # where texts end with a stop, one of several sentences or of just the cap's length that has none was cut
-        .when(intro & (F.col("stopped") >= STOPPED) & (~first_sentence | (at_cap & (F.col("len") >= LONG))), True)
-        .otherwise(natural < needed)
-    )
+    needed = F.when((_near_cap() & (F.col("field") == "introtext")) | _at_cap(), 10 * NATURAL).otherwise(NATURAL)
+    return F.when(~F.col("mark") & (F.col("whole").isNotNull()), False).when(F.col("w") == "", False).otherwise(natural < needed)
 
 
 def truncated(teasers: DataFrame, sites: DataFrame) -> DataFrame:
@@ -354,7 +479,7 @@ def truncated(teasers: DataFrame, sites: DataFrame) -> DataFrame:
     has no cap. An empty table gives no rows.
     """
     rows, judged = judge_values(teasers, sites)
-    found = judged.where("is_cut").drop("is_cut")
+    found = judged.where("is_cut").select("hi", "lo", "n")
     total = judged.agg(F.sum("n")).first()[0] or 0
     return join_counted(rows.select("teaser_id", "field", "hi", "lo"), found, ["hi", "lo"], "n", total).select("teaser_id", F.col("field").alias("field_name"))
 
@@ -364,7 +489,7 @@ def truncation_rates(teasers: DataFrame, sites: DataFrame) -> DataFrame:
     rows, judged = judge_values(teasers, sites)
     total = judged.agg(F.sum("n")).first()[0] or 0
     return (
-        join_counted(rows, judged, ["hi", "lo"], "n", total)
+        join_counted(rows, judged.drop("step"), ["hi", "lo"], "n", total)
         .groupBy("sp_source", F.col("field").alias("field_name"))
         .agg(F.count("*").alias("n_values"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut"))
         .withColumn("rate", F.col("n_cut") / F.col("n_values"))

@@ -186,8 +186,7 @@ def test_too_many_site_names_are_an_error(spark, monkeypatch):
 
     more = spark.createDataFrame([("Alpha",), ("Beta",)], "site_key string")
     monkeypatch.setattr(residue, "MAX_NAMES", 1)
-    monkeypatch.setattr(truncation, "MAX_NAMES", 1)
     with pytest.raises(ValueError):
         residue._registry_names(more)
     with pytest.raises(ValueError):
-        truncation.name_set(("Alpha", "Beta"))
+        truncation.truncated(spark.createDataFrame([], "teaser_id bigint, url string, title string, introtext string, sp_source string"), more)

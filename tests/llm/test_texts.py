@@ -182,6 +182,11 @@ def test_structure():
         assert shape(text)["broken"], text
     for text in ("AT & T", "100 %", "a < b", "fertig.", "%%TITEL%%"):
         assert not shape(text)["broken"] or text == "100 %", text
+    for text in ("Konzert mit R&B", "Mode von H&M", "A&O", "Salle &", "Ein b&b", "Müller & Söhne", "Q&A"):
+        assert not shape(text)["broken"], text
+    for text in ("Stra&szli", "f&uu", "nach &nb", "gro&", "Gr&uu", "x &#22"):
+        assert shape(text)["broken"], text
+    assert not shape("a" * 200_000 + "1")["broken"] and not shape("&" * 5000)["mark"]
     assert shape("Und dann ...")["mark"] and shape("Ende.“")["stop"] and not shape("am 14.")["stop"]
 
 
@@ -195,6 +200,21 @@ def test_sentence_ends():
     assert tokens("") == ([], []) and len(name_set(tuple(map(str, range(9000))))) == 9000
 
 
+def test_keys_of_words_and_beginnings():
+    """The arrays hold what a loop over the words finds."""
+    from siltloom.llm.truncation import Words, _hash, _keys
+
+    u = np.uint64
+    everything = Words(frozenset(["beta"]), lambda q: np.ones(len(q), bool))
+    t = everything.flat(["Ein Satz hier. Noch einer in Beta", "", "x 12", "Ein Satz dort"])
+    assert t["text"].tolist() == [0] * 7 + [2] * 2 + [3] * 3 and np.flatnonzero(t["stop"]).tolist() == [2] and np.flatnonzero(t["last"]).tolist() == [6, 8, 11]
+    assert t["first"].tolist() == [True] * 3 + [False] * 4 + [True] * 5
+    assert t["h"][6] == _hash("@") and t["h"][8] == _hash("9") and t["c1"][0] == t["c2"][0] == t["c2"][1] == _hash("^") and t["c2"][2] == _hash("ein")
+    assert t["start"][2] == t["start"][11] and t["start"][1] != t["start"][2] and t["start"][0] == t["start"][7] == 0
+    assert everything.begun[t["w"][1]] == tuple(_hash(x) for x in ("s", "sa", "sat"))
+    assert _keys(2, u(1), u(2)) != _keys(2, u(2), u(1)) != _keys(3, u(2), u(1))
+
+
 TEASERS = "teaser_id bigint, url string, title string, introtext string, sp_source string, n string, cap string"
 
 
@@ -252,3 +272,16 @@ def test_three_limits_over_all_documents(spark):
     assert got.agg(F.sum("n_tokens")).head()[0] == kinds * items.agg(F.sum("n_tokens")).head()[0]
     with pytest.raises(ValueError):
         pack(np.array([5]), np.array([5]), 8, None, 4)
+
+
+def test_structure_decides_before_counts(spark, sites):
+    """What the automaton or the terminators of the source decide is not asked of the corpus."""
+    from siltloom.llm.truncation import judge_values
+
+    good = [(i, f"u{i}", f"Der Verein {i} lädt ein", f"Im Saal {i} gibt es Kaffee. Es wird gesungen.", "a") for i in range(40)]
+    bad = [(100, "v1", "Der Chor (mit Gästen", "Im Saal gibt es <b>Kaffee", "a"), (101, "v2", "Ein Lied f&uu", "Es wird gesungen. Im Saal gibt", "a"), (102, "v3", "„Wir kommen", None, "a")]
+    df = spark.createDataFrame([(*x, None, None) for x in good + bad], TEASERS)
+    rows, judged = judge_values(df, sites)
+    got = {(r["teaser_id"], r["field"]): (r["is_cut"], r["step"]) for r in rows.join(judged, ["hi", "lo"]).collect()}
+    assert [got[k] for k in ((100, "title"), (100, "introtext"), (101, "title"), (102, "title"))] == [(True, "structure")] * 4
+    assert got[101, "introtext"] == (True, "baseline") and got[0, "introtext"] == (False, "structure") and got[0, "title"] == (False, "contexts")
