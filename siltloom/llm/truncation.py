@@ -47,6 +47,7 @@ SPREAD = 16
 STOPPED = 0.05
 _VOID = frozenset(("br", "hr", "img", "input", "wbr"))
 _PAIRS = {")": "(", "]": "[", "}": "{", "“": "„", "»": "«", "”": "“"}
+_BRACKETS = re.compile(r"[()\[\]{}„«“»”]")
 #: Bits of the bitmap of asked keys: at least, at most (16 MB), and for each key.
 MIN_BITS, MAX_BITS, BITS_A_KEY = 1 << 20, 1 << 27, 16
 #: Distinct words a worker keeps; beyond this number its store starts anew.
@@ -58,16 +59,19 @@ _HEAP_SHARE, _HEAP_TIMES = 0.02, 4.0
 def open_structure(text: str) -> tuple[bool, bool]:
     """(markup left open, quotes or brackets left open), by a stack over the text."""
     tags: list[str] = []
-    for m in _TAG.finditer(text):
-        name = m[2].lower()
-        if m[1]:
-            if name in tags:
-                while tags.pop() != name:
-                    pass
-        elif not m[3] and name not in _VOID:
-            tags.append(name)
+    plain = text
+    if "<" in text:
+        for m in _TAG.finditer(text):
+            name = m[2].lower()
+            if m[1]:
+                if name in tags:
+                    while tags.pop() != name:
+                        pass
+            elif not m[3] and name not in _VOID:
+                tags.append(name)
+        plain = _TAG.sub("", text)
     stack: list[str] = []
-    for c in _TAG.sub("", text):
+    for c in _BRACKETS.findall(plain):
         if c in "([{„«":
             stack.append(c)
         elif c in "“":
@@ -75,7 +79,7 @@ def open_structure(text: str) -> tuple[bool, bool]:
                 stack.pop()
             else:
                 stack.append(c)
-        elif c in _PAIRS and stack and stack[-1] == _PAIRS[c]:
+        elif stack and stack[-1] == _PAIRS[c]:
             stack.pop()
     return bool(tags), bool(stack)
 
@@ -122,29 +126,34 @@ def _stops(text: str, raw: list[str]) -> list[int]:
     ]
 
 
-def _without_end(text: str) -> tuple[str, bool, bool]:
-    """(the text that is counted, marked, stopped): markup, broken ends and marks of omission are out."""
+def _without_end(text: str) -> tuple[str, bool, bool, bool, str]:
+    """(the text that is counted, marked, stopped, broken, the same before marks were taken out): markup, broken ends and marks of omission are out."""
     bare = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
     at = broken_end(bare)
     if at is not None:
         bare = bare[:at]
     marked = _MARK.search(bare) is not None
     stopped = not marked and _STOP.search(bare) is not None
-    return (_MARK.sub("", bare) if marked else bare), marked, stopped
+    return (_MARK.sub("", bare) if marked else bare), marked, stopped, at is not None or _OPENED.search(bare) is not None, bare
 
 
 def shape(text: str) -> dict:
     """What is judged of one value."""
-    bare = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
-    broken = broken_end(bare) is not None or _OPENED.search(bare) is not None
-    body, mark, stop = _without_end(text)
+    return dict(zip(_SHAPE, _shape(text)))
+
+
+_SHAPE = ("broken", "mark", "stop", "tag_open", "closed", "quote_open", "w", "body")
+
+
+def _shape(text: str) -> tuple:
+    body, mark, stop, broken, bare = _without_end(text)
     tag_open, quote_open = open_structure(text)
     raw = _TOKEN.findall(body)
     number = bool(raw) and raw[-1][0].isdigit()
     if stop and number and _ORDINAL.search(body):
         stop = False  # an ordinal number, not the end of a sentence
-    closed = not mark and not quote_open and body != "" and (body[-1] in _CLOSERS or _FORMAT.search(body) is not None)
-    return {"broken": broken, "mark": mark, "stop": stop, "tag_open": tag_open, "closed": closed, "quote_open": quote_open, "w": "" if not raw else "9" if number else raw[-1].casefold()}
+    closed = not mark and not quote_open and bare != "" and (bare[-1] in _CLOSERS or _FORMAT.search(bare) is not None)
+    return broken, mark, stop, tag_open, closed, quote_open, "" if not raw else "9" if number else raw[-1].casefold(), body
 
 
 def _hash(word: str) -> int:
@@ -364,10 +373,10 @@ def _shaper(names: tuple[str, ...]):
         known = Words(name_set(names))
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            shapes = pd.DataFrame([shape(v) for v in pdf["value"]], columns=["broken", "mark", "stop", "tag_open", "closed", "quote_open", "w"])
+            shapes = pd.DataFrame([_shape(v) for v in pdf["value"]], columns=_SHAPE)
             # words only of those that a terminator does not settle
             open_ = np.flatnonzero(~shapes["stop"].to_numpy(bool) & (shapes["w"] != "").to_numpy(bool))
-            t = known.flat([_without_end(pdf["value"][i])[0] for i in open_])
+            t = known.flat(shapes.pop("body").iloc[open_].tolist())
             last = np.flatnonzero(t["last"])
             at = open_[t["text"][last]]
             h, c1, c2, start, first = (t[k][last] for k in ("h", "c1", "c2", "start", "first"))
