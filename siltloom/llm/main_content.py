@@ -3,8 +3,9 @@
 Method: composite text density. For each element of the tree the characters per tag are computed and
 adjusted for links; the densities of an element's children are summed, and the subtree with the largest
 sum is the body. The smallest density of its ancestors is the threshold for other blocks beside it, and the
-body must reach it too. The subtree is extended to the block of the headline, wherever that stands, and
-lines that are bylines, dates, prompts, notices and the like are left out; they take no part in the densities.
+body must reach it too. The subtree is extended to the block of the headline, wherever that stands. What is as
+dense as an article but none, blocks inside the body under a heading of related items or comments or named so, is told
+by these, and lines that are bylines, dates, prompts, notices and the like are left out; they take no part in the densities.
 
 Everything about one page happens in one Python pass; nothing is shuffled.
 """
@@ -35,9 +36,10 @@ class Line(NamedTuple):
 _CODE_TAGS = frozenset(("pre", "code", "kbd", "samp"))
 _HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _DROP_TAGS = frozenset(("nav", "aside", "footer", "button", "form", "script", "style", "noscript", "head", "template", "svg", "select", "textarea", "iframe", "dialog"))
-#: Roles, classes and ids of blocks around the body. Fixed values.
+#: Roles of blocks around the body. Fixed values.
 _DROP_ROLE = frozenset(("contentinfo", "navigation", "complementary", "search", "banner", "dialog", "alertdialog"))
-_DROP_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:cookies?|consent|layer|comments?|kommentare|commentaires|sidebar|side-?bar|footer|nav|navi|navigation|menu|breadcrumbs?|related|newsletter|banner|share-?bar|social)(?:$|[\s_-])")
+#: Words in classes and ids by which blocks inside the body are told to be none. Fixed values.
+_DROP_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:cookies?|consent|comments?|sidebar|footer|nav|navigation|menu|breadcrumbs?|related|newsletter|banner|share|sharing|social)(?:$|[\s_-])")
 #: Headings of blocks that follow or precede the body. Fixed values.
 _BLOCK_HEAD = re.compile(
     r"(?i)(?:das könnte sie (?:auch|ebenfalls) interessieren|(?:weitere|ähnliche|verwandte) (?:artikel|beiträge|meldungen|themen|nachrichten)|mehr (?:zum thema|aus der region|nachrichten)|lesen sie auch|auch interessant|meistgelesen|"
@@ -56,20 +58,20 @@ _JUNK_PATTERNS = [
     r"(?:von der redaktion|redaktion\s*:|von:|autor(?:in)?\s*:|verfasst von|von unserer redaktion)\s?" + _NAME,
     r"(?:text und (?:foto|bild|fotos|bilder)|text|fotos?|bild(?:er)?|bildquelle|bildnachweis|grafik)\s*:\s*" + _NAME,
     r"(?:quelle|source|sources?)\s*:\s*" + _NAME,
-    r"(?:by the " + _NAME + r"(?: news)? desk|(?:written|reported|posted) by " + _NAME + r"|author\s*:\s*" + _NAME + r"|by [A-Z][\w'’-]+ [A-Z][\w'’-]+)",
+    r"(?:by the " + _NAME + r"(?: news)? desk|(?:written|reported|posted) by " + _NAME + r"|author\s*:\s*" + _NAME + r"|by (?-i:[A-ZÀ-Þ])[\w'’-]+ (?-i:[A-ZÀ-Þ])[\w'’-]+)",
     r"(?:words and pictures|words|pictures?|photos?|photo credit|image)\s*:\s*" + _NAME,
     r"(?:par la rédaction(?: de " + _NAME + r")?|rédaction\s*:\s*" + _NAME + r"|(?:textes? et (?:photos?|images?)|photos?|texte|crédit photo|auteur)\s*:\s*" + _NAME + r"|propos recueillis par " + _NAME + r")",
     # share and subscription prompts
-    r"teilen sie (?:diesen|diese|den|die) .{0,60}", r"gefällt ihnen .{0,60}", r"(?:jetzt )?(?:den|unseren) newsletter .{0,90}", r"folgen sie uns.{0,80}", r"(?:empfehlen|weitersagen|teilen)\b.{0,40}", r"(?:jetzt )?abonnieren.{0,60}",
+    r"teilen sie (?:diesen|diese|den|die) .{0,60}", r"gefällt ihnen .{0,60}", r"(?:jetzt )?(?:den|unseren) newsletter .{0,90}", r"folgen sie uns.{0,80}", r"(?:empfehlen|weitersagen|teilen)(?: sie\b.{0,40}| (?:auf|per|via|bei|mit|über) .{1,30}|\W*(?:(?:&|und|oder|\||/|,|·) ?(?:empfehlen|weitersagen|teilen|drucken|merken|senden)\W*)*)", r"(?:jetzt )?abonnieren.{0,60}",
     r"seite drucken.{0,50}", r"(?:artikel )?drucken.{0,40}", r"als e-?mail versenden.{0,20}",
     r"share this .{0,60}", r"liked this .{0,50}", r"(?:sign up|subscribe)\b.{0,90}", r"follow us\b.{0,70}", r"pass it on.{0,20}", r"print this .{0,50}", r"send by e-?mail.{0,20}", r"share on .{0,30}",
     r"partage[zr] cet(?:te)? .{0,60}", r"abonne[zr]-vous .{0,90}", r"suive[zr]-nous.{0,80}", r"cet article vous a plu.{0,60}", r"vous avez aimé .{0,60}", r"imprimer (?:la|cette) page.{0,50}", r"envoyer par courriel.{0,20}", r"recommande[zr].{0,40}",
     # legal and picture notices, footers
     r"(?:©|\(c\)|copyright\b).{0,120}", r".{0,60}\b(?:alle rechte vorbehalten|all rights reserved|tous droits réservés)\.?", r"(?:hinweis\s*:\s*)?bildrechte .{0,100}", r"picture rights .{0,100}", r"(?:les )?droits (?:des|sur les) (?:images|photos) .{0,100}", r"(?:crédits? (?:photos?|images?)|images?)\s*:.{0,80}",
-    r"eine weiterverwendung .{0,100}", r"texts may be reused .{0,80}", r"(?:la )?reproduction .{0,100}", r"(?:la réutilisation|toute (?:réutilisation|reproduction)) .{0,100}", r"alle angaben .{0,90}ohne gewähr.{0,60}", r"we accept no liability .{0,80}", r"(?:la )?(?:ville|commune|mairie) de " + _NAME + r" décline toute responsabilité.{0,80}",
+    r"eine weiterverwendung .{0,100}", r"texts may be reused .{0,80}", r"(?:la |toute )?reproduction\b(?=.*\b(?:interdite?s?|soumise?s?|autorisée?s?|autorisation|accord|droits?|réservée?s?|sans)\b).{0,120}", r"(?:la réutilisation|toute (?:réutilisation|reproduction)) .{0,100}", r"alle angaben .{0,90}ohne gewähr.{0,60}", r"we accept no liability .{0,80}", r"(?:la )?(?:ville|commune|mairie) de " + _NAME + r" décline toute responsabilité.{0,80}",
     r"(?:impressum|imprint|mentions légales)\s*[|·/-].{0,80}", r"stadtverwaltung " + _NAME + r",.{0,80}", _NAME + r" town hall, \d+ .{0,80}", r"mairie de " + _NAME + r", \d+ .{0,80}", r".{5,60}, (?:telefon|phone|tél\.) [\d /-]+",
     # consent notices
-    r".{0,90}\bcookies?\b.{0,140}", r"ihre privatsphäre ist .{0,140}", r"your privacy matters .{0,140}", r"(?:alle|tout) (?:akzeptieren|accepter)", r"(?:accept|reject|allow) all", r"(?:nur notwendige|only essential) cookies", r"(?:einstellungen speichern|save my (?:choices?|settings)|enregistrer mes choix|refuser|ablehnen|tout refuser)",
+    r"(?=.*\b(?:akzept\w*|zustimm\w*|verwende\w*|verwendung|setz\w+|gesetzt|speicher\w*|nutzen|benutzt|notwendig\w*|erlauben|einstellungen|datenschutz\w*|accept\w*|allow\w*|stor(?:e|es|ed|ing)|sets?|uses?|using|need(?:s|ed)?|essential|settings|consent|privacy|choose|utilis\w*|dépos\w*|accepte\w*|refuse\w*|nécessaires?|confidentialité|paramètres|consentement|choisi\w*)\b).{0,90}\bcookies?\b.{0,140}", r"ihre privatsphäre ist .{0,140}", r"your privacy matters .{0,140}", r"(?:alle|tout) (?:akzeptieren|accepter)", r"(?:accept|reject|allow) all", r"(?:nur notwendige|only essential) cookies", r"(?:einstellungen speichern|save my (?:choices?|settings)|enregistrer mes choix|refuser|ablehnen|tout refuser)",
 ]
 _JUNK = re.compile(r"(?i)(?:" + "|".join(f"(?:{p})" for p in _JUNK_PATTERNS) + r")")
 
@@ -82,7 +84,7 @@ SHORT_BOX = 45
 
 @lru_cache(maxsize=8192)
 def is_junk(line: str) -> bool:
-    """Is the line a byline, a date, a prompt or a notice?"""
+    """Is the line a byline, a date, a prompt or a notice? No pattern reaches beyond 240 characters."""
     return len(line) <= 240 and _JUNK.fullmatch(line) is not None
 
 
@@ -95,16 +97,20 @@ def _dropped(node: Node) -> bool:
         a = node.attrs
         if a.get("role") in _DROP_ROLE:
             return True
-        if node.tag in ("div", "section", "ul", "ol", "article", "p") and any(_DROP_NAME.search(a[k]) for k in ("class", "id") if a.get(k)):
-            return True
-    if node.tag in ("div", "section", "article", "td", "main"):
-        for kid in node.kids:
-            if isinstance(kid, str):
-                if kid.strip():
-                    return False
-                continue
-            if kid.tag in _HEADS or kid.tag in ("strong", "b"):
-                return _BLOCK_HEAD.fullmatch(kid.text()) is not None
+    return False
+
+
+def _heads_block(node: Node) -> bool:
+    """Does the block begin with a heading of related items or comments?"""
+    if node.tag not in ("div", "section", "article", "aside", "td", "main", "footer"):
+        return False
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if kid.strip():
+                return False
+        elif kid.tag in _HEADS or kid.tag in ("strong", "b"):
+            return _BLOCK_HEAD.fullmatch(kid.text()) is not None
+        else:
             return False
     return False
 
@@ -123,7 +129,7 @@ def _links_only(node: Node) -> bool:
 
 def _is_junk_block(node: Node, title: str) -> bool:
     """A block of one line that is left out wherever it stands; headlines are none."""
-    if node.tag in _HEADS or node.tag in INLINE or node.attrs_src and "hl" in node.attrs_src:
+    if node.tag in _HEADS or node.tag in INLINE :
         return False
     if any(k.tag not in INLINE for k in node.walk() if k is not node):
         return False
@@ -177,9 +183,12 @@ def densities(body: Node, title: str = "") -> tuple[Node, float]:
         base = math.log(c / max(1, c - lc) * lc + link_chars / chars * c + math.e)
         node.stat[4] = c / t1 * math.log(max(1.0001, c / lc1 * t1 / lt1)) / max(1e-9, math.log(base + 1e-9) if base > 1.0000001 else 1.0)
     least = {id(body): math.inf}
+    headed: set[int] = set()
     best, most = body, -1.0
     for node, _ in order:
         if node.stat[6]:
+            if id(node.parent) in headed or _heads_block(node):
+                headed.add(id(node))
             total = 0.0
             below = min(least[id(node)], node.stat[4])
             for k in node.kids:
@@ -188,7 +197,7 @@ def densities(body: Node, title: str = "") -> tuple[Node, float]:
                     if k.tag not in INLINE:
                         total += k.stat[4]
             node.stat[5] = total
-            if total > most and (node is body or node.stat[4] >= least[id(node)]):
+            if total > most and id(node) not in headed and (node is body or node.stat[4] >= least[id(node)]):
                 best, most = node, total
     return best, 0.0 if best is body else least[id(best)]
 
@@ -220,10 +229,22 @@ def _leave_sparse(source: Node, ends: tuple[Node, ...], body: Node, threshold: f
                 k.stat[6] = None
 
 
-def _heads_block(node: Node) -> bool:
-    """Is the first heading of the block one of related items or comments?"""
-    head = next((k for k in node.walk() if k.tag in _HEADS or k.tag in ("strong", "b")), None)
-    return head is not None and _BLOCK_HEAD.fullmatch(head.text()) is not None
+def _named(node: Node) -> bool:
+    """Does the block's own class or id tell that it is no content?"""
+    return node.tag in ("div", "section", "ul", "ol") and bool(node.attrs_src) and any(_DROP_NAME.search(node.attrs[k]) for k in ("class", "id") if node.attrs.get(k))
+
+
+def _leave_headed(source: Node) -> None:
+    """Marks blocks of related items, comments and the like inside the body as not kept; they are as dense as any."""
+    todo = [source]
+    while todo:
+        node = todo.pop()
+        for k in node.kids:
+            if not isinstance(k, str) and k.stat is not None and k.stat[6]:
+                if _heads_block(k) or _named(k):
+                    k.stat[6] = None
+                else:
+                    todo.append(k)
 
 
 def _body_like(text: str, tag: str, wholly_small: bool) -> bool:
@@ -317,7 +338,7 @@ def main_lines(page: str) -> tuple[list[Line], list[str]]:
             if not isinstance(k, str) and k.tag == "noscript" and (text := text_of(re.sub(r"<[^>]*>", " ", "".join(x for x in k.kids if isinstance(x, str))))):
                 notices.append(text)
         if node.tag not in INLINE and node is not body:
-            if head is None and node.tag in ("h1", "h2") or (node.tag == "div" and "hl" in node.attrs_src and node.attrs.get("class") == "hl" and (head is None or head.tag not in ("h1", "h2"))):
+            if head is None and node.tag in ("h1", "h2"):
                 head = node
             if title and named is None and node.tag in ("h1", "h2", "div", "p", "h3") and node.stat[0] and node.stat[0] <= 2 * len(title) + 400 and node.text() == title:
                 named = node
@@ -341,9 +362,11 @@ def main_lines(page: str) -> tuple[list[Line], list[str]]:
             _leave_sparse(source, (best, top), body, threshold)
             if source is not top and source is not best:
                 after = next(x for x in source.walk() if x is head or x is best)
+        _leave_headed(source)
         raw = _lines_of(source, False, after)
         heads = {id(x) for x in head.walk()}
     else:
+        _leave_headed(best)
         raw = _lines_of(best, True, None)
         heads = set()
     lines: list[tuple] = []

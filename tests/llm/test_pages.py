@@ -190,3 +190,30 @@ def test_too_many_site_names_are_an_error(spark, monkeypatch):
         residue._registry_names(more)
     with pytest.raises(ValueError):
         truncation.truncated(spark.createDataFrame([], "teaser_id bigint, url string, title string, introtext string, sp_source string"), more)
+
+
+def test_content_that_looks_like_a_notice():
+    from siltloom.llm.main_content import is_junk
+
+    for line in ("By the river", "Cookies backen mit Kindern in der Stadtbücherei", "La reproduction des tortues observée au zoo", "Teilen macht Freude im Kindergarten"):
+        assert not is_junk(line), line
+        page = f"<html><body><div><h1>Kopf</h1><p>{'Ein langer Satz über den Ort. ' * 9}</p><p>{line}</p></div></body></html>"
+        assert line in [x.text for x in main_lines(page)[0]]
+    for line in ("By Anna Smith", "Teilen & drucken", "Diese Seite verwendet Cookies.", "La reproduction des textes est interdite."):
+        assert is_junk(line), line
+
+
+def test_density_finds_the_body_without_names_or_headings(monkeypatch):
+    """With the list of headings switched off the densest subtree still leaves out what stands around it."""
+    import re
+
+    from siltloom.llm import main_content
+
+    monkeypatch.setattr(main_content, "_BLOCK_HEAD", re.compile(r"(?!)"))
+    text = "".join(f"<p>{'Der Rat hat am Abend lange über die Brücke gesprochen. ' * 4}</p>" for _ in range(4))
+    side = "".join(f'<li><a href="/{i}">Weitere Meldung {i}</a> kurz</li>' for i in range(8))
+    page = f"<html><body><div class=x1><ul>{side}</ul></div><div class=x2><h2>Brücke</h2>{text}</div><div class=x3><h3>Mehr</h3><ul>{side}</ul></div></body></html>"
+    lines = [x.text for x in main_lines(page)[0]]
+    assert lines[0] == "Brücke" and len(lines) == 5
+    monkeypatch.setattr(main_content, "densities", lambda body, title="", real=main_content.densities: (real(body, title) and body, 0.0))
+    assert len(main_lines(page)[0]) > 5
