@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,19 +26,19 @@ from siltloom.session import bound_arrow, spread
 _ID = r"[A-Za-z_][\w.\-]*(?:\[\w*\])?(?:\s*[|:]\s*[\w.\-]+)*"
 #: Grammars of placeholders, one for each kind of delimiter. Fixed values.
 GRAMMARS: dict[str, str] = {
-    "double braces": r"\{\{\{?\s*[^{}]{0,80}?\s*\}?\}\}",
+    "double braces": r"\{\{\{?\s*[^{}]*\}?\}\}",
     "dollar braces": r"\$\{\s*" + _ID + r"\s*\}",
     "hash braces": r"#\{\s*" + _ID + r"\s*\}",
     "smarty": r"\{\$" + _ID + r"\}",
-    "block tags": r"\{%[^{}%]{0,80}%\}",
-    "angle percent": r"<%=?-?\s*[^<>%]{0,80}%>",
-    "bracket percent": r"\[%-?\s*[^%]{0,80}%\]",
+    "block tags": r"\{%[^{}%]*%\}",
+    "angle percent": r"<%=?-?\s*[^<>%]*%>",
+    "bracket percent": r"\[%-?\s*[^%]*%\]",
     "double brackets": r"\[\[\s*" + _ID + r"\s*\]\]",
     "percent dict": r"%\(" + _ID + r"\)[sdf]",
     "double percent": r"%%\s*" + _ID + r"\s*%%",
     "hash marks": r"#{2,3}\s*" + _ID + r"\s*#{2,3}",
     "at marks": r"@@\s*" + _ID + r"\s*@@",
-    "underscores": r"(?<!\w)__[A-Za-z](?:(?!__)[\w.:|\[\] ]){0,60}__(?!\w)",
+    "underscores": r"(?<!\w)__[A-Za-z](?:(?!__)[\w.:|\[\] ])*__(?!\w)",
     "single braces": r"\{\s*" + _ID + r"\s*\}",
     "missing marks": r"!{2}\s?[A-Z][A-Z_. ]*(?:!{2})?|(?<!\w)\?[A-Za-z][A-Za-z_.]+\?(?!\w)",
     "empty values": r"\(null\)|\[object Object\]|(?<![\w.])(?:null|undefined|NaN)(?![\w.])",
@@ -141,6 +142,11 @@ def is_residue(text: str, names: Iterable[str] = (), whole: bool = True) -> bool
     return False
 
 
+@lru_cache(maxsize=8)
+def _lower(names: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(n.lower() for n in names if n)
+
+
 def title_is_residue(title: str | None, names: Iterable[str] = ()) -> bool:
     """A title is residue wholly or beside a site name or a short label. None and blank titles are none."""
     if not title or not title.strip():
@@ -151,7 +157,7 @@ def title_is_residue(title: str | None, names: Iterable[str] = ()) -> bool:
     parts = [p for p in _SEPARATED.split(title) if p.strip()]
     if len(parts) < 2:
         return False
-    known = {n.lower() for n in names if n}
+    known = _lower(names)
     # the label or site name is one end of the title, the residue all the rest
     for m in _SEPARATED.finditer(title):
         left, right = title[: m.start()].strip(), title[m.end() :].strip()
