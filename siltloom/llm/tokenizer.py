@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from siltloom.session import bound_arrow, spread
@@ -28,6 +29,8 @@ NAME = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept with their ids in a worker; beyond it the store starts anew, so memory stays bounded.
 MAX_WORDS = 300_000
+#: Pairs of tokens kept likewise.
+MAX_PAIRS = 1_000_000
 #: Words longer than this are not kept.
 MAX_KEPT = 64
 
@@ -102,15 +105,16 @@ class SpeculativeBpe:
     def _check(self, asked: np.ndarray) -> np.ndarray:
         """Are the pairs (left * size + right) compatible? Unknown ones are worked out once and kept."""
         unique = np.unique(asked)
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         new = unique[~np.isin(unique, self.pairs, assume_unique=True)]
         if len(new):
             left, right = np.divmod(new, self.size)
             found = np.fromiter(
                 (self._self(a) and self._self(b) and self.exact(self.bytes_of[a] + self.bytes_of[b]) == [a, b] for a, b in zip(left.tolist(), right.tolist())), bool, len(new)
             )
-            pairs, fits = np.concatenate((self.pairs, new)), np.concatenate((self.fits, found))
-            order = np.argsort(pairs, kind="stable")
-            self.pairs, self.fits = pairs[order], fits[order]
+            at = np.searchsorted(self.pairs, new)
+            self.pairs, self.fits = np.insert(self.pairs, at, new), np.insert(self.fits, at, found)
         return self.fits[np.searchsorted(self.pairs, asked)]
 
     def learn(self, words: list[str]) -> dict[str, list[int]]:
@@ -156,8 +160,9 @@ class SpeculativeBpe:
 
 @lru_cache(4)
 def encoder(folder: str = FOLDER, name: str = NAME) -> SpeculativeBpe:
-    """One encoder a worker process."""
-    return SpeculativeBpe(os.path.join(folder, f"{name}.tiktoken"))
+    """One encoder a worker process. Where the folder is not on the machine, the file that Spark sent is taken."""
+    path = os.path.join(folder, f"{name}.tiktoken")
+    return SpeculativeBpe(path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken"))
 
 
 #: Texts encoded together; their ids are handed on before the next ones.
@@ -171,6 +176,7 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = NAME, only_co
     strings in a text are ordinary text. Other columns of any name are left out; repeated rows give rows each.
     """
     bound_arrow(documents.sparkSession)
+    documents.sparkSession.sparkContext.addFile(os.path.join(folder, f"{name}.tiktoken"))  # once a session; only the driver needs the folder
 
     def run(batches):
         bpe = encoder(folder, name)

@@ -36,6 +36,17 @@ def test_ids_equal_the_public_library(spark):
     assert tok.encode(docs(spark)).count() == 0
 
 
+@needs_files
+def test_stores_are_bounded(monkeypatch):
+    monkeypatch.setattr(tok, "MAX_PAIRS", 50)
+    monkeypatch.setattr(tok, "MAX_WORDS", 100)
+    bpe, whole = tok.SpeculativeBpe(f"{tok.FOLDER}/{tok.NAME}.tiktoken"), tok.SpeculativeBpe(f"{tok.FOLDER}/{tok.NAME}.tiktoken")
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdeinrst") for _ in range(rng.randint(2, 9))) for _ in range(30)) for _ in range(40)]
+    expected = [whole.encode_batch([t])[0] for t in texts]
+    assert [bpe.encode_batch([t])[0] for t in texts] == expected and len(bpe.pairs) < 50 + 400 and len(bpe.words) <= 100
+
+
 @needs_files
 def test_speculation_is_verified():
     b = tok.SpeculativeBpe(f"{tok.FOLDER}/{tok.NAME}.tiktoken")
