@@ -26,6 +26,9 @@ _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "textarea", "title")}
 
 
+_RUNS = re.compile(r"[ \n\r\t\f]{2,}|[\n\r\t\f]")
+
+
 def text_of(piece: str) -> str:
     """Entities decoded, whitespace (no-break and thin spaces included) collapsed, trimmed."""
     if "&" in piece:
@@ -78,6 +81,19 @@ class Node:
             yield node
             todo.extend(k for k in reversed(node.kids) if not isinstance(k, str))
 
+    def content(self) -> str:
+        """All text below as it stands, decoded; runs of ASCII whitespace are one space, no-break spaces stay, and tags part nothing."""
+        parts: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                parts.append(x)
+            elif x.kids:
+                raw = x.tag in ("script", "style")
+                todo.extend(k if not isinstance(k, str) or raw or "&" not in k else _html.unescape(k) for k in reversed(x.kids))
+        return _RUNS.sub(" ", "".join(parts)).strip(" \n\r\t\f")
+
     def text(self) -> str:
         """All text below, decoded and collapsed."""
         parts: list[str] = []

@@ -43,7 +43,7 @@ def css_text(root: Node, selector: str) -> str | None:
         node = first(root, selector)
     except SelectorError:
         return None
-    return None if node is None else node.text().strip(TRIM)
+    return None if node is None else node.content().strip(TRIM)
 
 
 def css_attribute(root: Node, selector: str, name: str) -> str | None:
@@ -98,7 +98,7 @@ def body_text(root: Node) -> str:
     for selector in BODY_SELECTORS:
         node = first(root, selector)
         if node is not None:
-            return node.text().strip(TRIM)
+            return node.content().strip(TRIM)
     return ""
 
 
