@@ -51,8 +51,11 @@ def truncate_clean(c: Column, max_chars: int = 120) -> Column:
     return F.when(F.char_length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit("..."))).otherwise(c)
 
 
+_BLANK = frozenset(" \t\n\v\f\r")
+
+
 def strip_tags(text: str) -> str:
-    """Markup out: quotes in tags are respected, comments removed, an unclosed tag takes the rest, "< " is text."""
+    """Markup out: quotes in tags are respected, comments removed, an unclosed tag takes the rest, a last "<" with it; "< " is text."""
     if "<" not in text:
         return text
     out, i, n = [], 0, len(text)
@@ -62,7 +65,7 @@ def strip_tags(text: str) -> str:
             out.append(text[i:])
             break
         out.append(text[i:j])
-        if j + 1 >= n or text[j + 1].isspace():
+        if text[j + 1 : j + 2] in _BLANK:
             out.append("<")
             i = j + 1
             continue

@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltloom.config import DateSpec, FieldSpec, Reader, ScoreRule, Scoring, SiteConfig
+from siltloom.config import DateSpec, FieldSpec, Reader, ScoreRule, Scoring, SiteConfig, site_config
 from siltloom.functions.text import collapse_ascii, trim, truncate_clean, truncate_field
 from siltloom.operators import urls as U
 from siltloom.operators.clean import clean_teasers
@@ -21,10 +22,11 @@ from siltloom.operators.index import Index, documents
 from siltloom.operators.score import relevant, score
 from siltloom.operators.snapshots import snapshot_changes
 from siltloom.operators.timestamps import normalise, timestamp_values
+from siltloom.plans import page_sql
 from siltloom.plans.pipeline import extract_teasers, run_site, teasers_of
 from siltloom.pointer import Pointer
 from siltloom.session import read_table, ship_package, work_folder
-from siltloom.sources.fetch import backoff_schedule, next_wait
+from siltloom.sources.fetch import Response, backoff_schedule, next_wait, request
 from siltloom.sources.pages import chunked, fetch_pages, successful
 from siltloom.streaming.incremental import page_stream, stream_teasers
 
@@ -188,6 +190,36 @@ def fetch_backoff(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, rows, "kind string, n int, wait_ms int")
 
 
+def fetch_status_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as responses of many a status, some with an error."""
+    pages = read_table(spark, d, "pages_in")
+    responses = pages.select("url", (F.lit(198) + F.col("page_id") % 110).cast("int").alias("status"), F.lit(None).cast("string").alias("retry_after"), F.col("html").alias("body"), F.when(F.col("page_id") % 13 == 0, "reset").alias("error"))
+    return successful(responses).select("url", F.octet_length("html").alias("n_bytes"))
+
+
+def fetch_retries(spark: SparkSession, d: str) -> DataFrame:
+    """A request for every page, of which the first few fail: attempts, last status and time waited."""
+    config = SITE.with_(max_retry=3, delay_ms=100, retry_status_codes=(503,))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key in pdf["page_id"].tolist():
+                calls, waits = [], []
+
+                def send(url, key=key, calls=calls):
+                    calls.append(url)
+                    if len(calls) > key % 5:
+                        return Response(200, {}, "ok")
+                    return Response(503, {"Retry-After": "2"} if key % 7 == 0 else {})
+
+                last = request(send, str(key), config, waits.append)
+                rows.append((key, len(calls), last.status, round(1000 * sum(waits))))
+            yield pd.DataFrame(rows, columns=["page_id", "attempts", "status", "waited_ms"])
+
+    return read_table(spark, d, "pages_in").select("page_id").mapInPandas(run, "page_id bigint, attempts int, status int, waited_ms int")
+
+
 def page_guard(spark: SparkSession, d: str) -> DataFrame:
     return guard(read_table(spark, d, "pages_in")).select("page_id", F.octet_length("html").alias("n_bytes"))
 
@@ -343,6 +375,30 @@ def config_readers(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, [(k, kind, str(read[kind](k))) for k, kind, _ in CONFIG_READS], "key string, reader string, value string")
 
 
+def config_sites(spark: SparkSession, d: str) -> DataFrame:
+    """The registry's rows as untyped parameters, read into configurations."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, name, base, lang, title, intro in pdf.itertuples(index=False, name=None):
+                known = lambda x: None if pd.isna(x) else int(x)
+                config, _ = site_config({
+                    "id": key, "user_agent": name, "respect_robots_txt": "TRUE" if lang == "de" else 1, "robots_url": f"  {base}robots.txt ", "start_urls": [base, {"url": base, "extraction_depth": "2"}, {"url": 3}, 7],
+                    "title.max_chars": known(title), "introText.max_chars": None if known(intro) is None else str(known(intro)), "deny_prefixes": ["", name, None], "max_teaser": "x",
+                })
+                rows.append((config.id, config.user_agent, config.respect_robots_txt, config.robots_url, len(config.start_urls), config.start_urls[1][1], config.title.max_chars, config.intro.max_chars, ",".join(config.deny_prefixes), config.max_teaser))
+            yield pd.DataFrame(rows, columns=["id", "agent", "robots", "robots_url", "n_starts", "depth", "title_cap", "intro_cap", "denied", "max_teaser"])
+
+    sites = read_table(spark, d, "sites").select("sp_source", "site_key", "base_url", "lang", "title_max_chars", "intro_max_chars")
+    return sites.mapInPandas(run, "id string, agent string, robots boolean, robots_url string, n_starts int, depth int, title_cap int, intro_cap int, denied string, max_teaser int")
+
+
+def clean_teasers_raw(spark: SparkSession, d: str) -> DataFrame:
+    teasers = read_table(spark, d, "teasers_raw").select("url", "title", F.col("introtext").alias("introText"), F.col("harvested_at").alias("datetime"))
+    return clean_teasers(teasers).select("url", "title", "introText")
+
+
 def site_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Pages to index documents: guard, DOM pass, required fields, caps, cleaning, projection."""
     teasers = teasers_of(read_table(spark, d, "pages_in"), SITE)
@@ -465,7 +521,7 @@ FROM pairs p JOIN runs r ON r.sp_source = p.sp_source AND r.run_no = p.run_no WH
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         url_scheme_filter, url_allow_prefix, url_deny_prefix, url_deny_endings, url_strip_params, url_sanitize_edge, url_ordered_distinct, url_topk, url_forced_union, url_pipeline,
-        robots_filter, robots_unavailable, links_all, links_distinct, fetch_join, fetch_status_filter, fetch_chunks, fetch_backoff, page_guard, extract_pages, extract_cascade, extract_dates,
+        robots_filter, robots_unavailable, links_all, links_distinct, fetch_join, fetch_status_filter, fetch_status_pages, fetch_retries, config_sites, clean_teasers_raw, fetch_chunks, fetch_backoff, page_guard, extract_pages, extract_cascade, extract_dates,
         truncate_40, truncate_uncapped, clean_truncate, clean_text_ws, score_rules, score_filter, score_reasons, score_pages, score_edge, clean_html_golden, index_documents, index_no_date,
         config_readers, site_pipeline, site_run, bfs_pages, bfs_pages_limit, site_run_pages, index_replace_docs, stream_pages, p3_found, p3_instants, p7_found,
     )
@@ -539,7 +595,23 @@ def oracle_sql() -> dict[str, str]:
         "robots_filter": f"SELECT ord, url FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.]*://[^/?#]*([^#]*)', 1) AS p FROM ({first})) WHERE {_ROBOTS_RULES}",
         "robots_unavailable": first,
         "links_distinct": LINKS_SQL,
-        "fetch_join": "SELECT url, strlen(min(html)) AS n_bytes FROM pages_in WHERE url IN (SELECT url FROM teasers_raw) GROUP BY url",
+        "links_all": page_sql.LINKS,
+        "fetch_join": page_sql.FETCHED,
+        "fetch_status_pages": "SELECT url, strlen(html) AS n_bytes FROM pages_in WHERE 198 + page_id % 110 BETWEEN 200 AND 299 AND page_id % 13 <> 0 AND html IS NOT NULL",
+        "fetch_retries": """SELECT page_id, least(page_id % 5 + 1, 3)::INT AS attempts, (CASE WHEN page_id % 5 < 3 THEN 200 ELSE 503 END)::INT AS status,
+            (CASE WHEN page_id % 7 = 0 THEN 2000 * least(page_id % 5, 2) ELSE 100 * (pow(2, least(page_id % 5, 2)) - 1) END)::INT AS waited_ms FROM pages_in""",
+        "config_sites": """SELECT sp_source AS id, site_key AS agent, lang = 'de' AS robots, base_url || 'robots.txt' AS robots_url, 2::INT AS n_starts, 2::INT AS depth,
+            coalesce(title_max_chars, 120)::INT AS title_cap, coalesce(intro_max_chars, 120)::INT AS intro_cap, site_key AS denied, 100::INT AS max_teaser FROM sites""",
+        "clean_teasers_raw": f"""SELECT * FROM (SELECT url, {page_sql.cleaned('title')} AS title, CASE WHEN introtext <> '' THEN {page_sql.cleaned('introtext')} END AS introText FROM teasers_raw)
+            WHERE title <> ''""",
+        "extract_pages": page_sql.EXTRACT,
+        "score_pages": page_sql.scores(_SCORE, _REASONS, _SPACE),
+        "site_pipeline": page_sql.DOCUMENTS,
+        "stream_pages": page_sql.CLEAN,
+        "bfs_pages": page_sql.crawled(2),
+        "bfs_pages_limit": page_sql.crawled(2, 17, f"{_starts('h', ALLOW)} AND NOT {_starts('h', DENY)}"),
+        "site_run_pages": page_sql.SITE_RUN,
+        "index_replace_docs": page_sql.REPLACED,
         "fetch_status_filter": _values("url, html", [("https://h.example/1", "ok"), ("https://h.example/3", "edge")]),
         "fetch_chunks": "SELECT page_id AS ord, url, page_id // 3 AS chunk FROM pages_in",
         "fetch_backoff": _values(
