@@ -313,9 +313,9 @@ def score_edge(spark: SparkSession, d: str) -> DataFrame:
 
 
 CLEAN_ROWS = [
-    ("1", "<p>Hello <b>World</b></p>", "<p>Dies ist <b>eine</b> Einleitung.</p>"), ("2", "<script>alert('x')</script>Test", "<SCRIPT type=a>1<2</SCRIPT>Kurztext"),
-    ("3", "  &uuml;berzeugt ", "&auml;u&szlig;erst  <i>wichtig</i>"), ("4", "", "text"), ("5", "   ", "   "), ("6", "a" * 200, "b" * 300),
-    ("7", '<span style="color:red">Red Text</span>', '<span style="x">Roter <b>Intro</b> Text</span>'), ("8", "1 < 2 &lt;b&gt; &copy x", ""), ("9", "<!-- c -->T<img alt='>'>", "<b"),
+    ("1", "<h2>Neues <i>aus</i> Grau</h2>", "<div>Im Saal wird <em>wieder</em> gesungen.</div>"), ("2", "<script>let a = 1 < 2</script>Markt", "<STYLE media=all>p{}</STYLE>Kurz gesagt"),
+    ("3", "  &Ouml;ffnung ", "t&auml;glich, au&szlig;er  <b>montags</b>"), ("4", "", "ohne Titel"), ("5", "   ", "   "), ("6", "z" * 200, "y" * 300),
+    ("7", '<a title="a > b" href=x>Link</a>', '<i lang="de">Ein <b>Wort</b> mehr</i>'), ("8", "3 < 4 &lt;i&gt; &reg y", ""), ("9", "<!-- weg -->U<img alt='>'>", "<u"),
 ]
 
 
@@ -641,8 +641,8 @@ def oracle_sql() -> dict[str, str]:
         "clean_html_golden": _values(
             "url, title, introText, day",
             [
-                ("1", "Hello World", "Dies ist eine Einleitung.", "2012-10-12"), ("2", "Test", "Kurztext", "2012-10-12"), ("3", "überzeugt", "äußerst wichtig", "2012-10-12"),
-                ("6", "a" * 120 + "...", "b" * 120 + "...", "2012-10-12"), ("7", "Red Text", "Roter Intro Text", "2012-10-12"), ("8", "1 < 2 <b> &copy x", None, "2012-10-12"), ("9", "T", "", "2012-10-12"),
+                ("1", "Neues aus Grau", "Im Saal wird wieder gesungen.", "2012-10-12"), ("2", "Markt", "Kurz gesagt", "2012-10-12"), ("3", "Öffnung", "täglich, außer montags", "2012-10-12"),
+                ("6", "z" * 120 + "...", "y" * 120 + "...", "2012-10-12"), ("7", "Link", "Ein Wort mehr", "2012-10-12"), ("8", "3 < 4 <i> &reg y", None, "2012-10-12"), ("9", "U", "", "2012-10-12"),
             ],
         ),
         "index_documents": """SELECT url AS id, title, CASE WHEN introtext NOT IN ('', '0') THEN introtext END AS sp_intro, strftime(harvested_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS sp_date, url,

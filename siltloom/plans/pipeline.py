@@ -18,7 +18,7 @@ from siltloom.operators.index import Index, Status, documents, new_run_id
 from siltloom.operators.score import relevant
 from siltloom.operators.urls import final_urls
 from siltloom.schemas import TEASERS
-from siltloom.session import cut, ship_package
+from siltloom.session import cut, ship_package, temporary
 from siltloom.sources.fetch import RobotsTexts, fetch_live
 from siltloom.sources.pages import fetch_pages, successful
 
@@ -59,11 +59,12 @@ def run_site(
     Pages come from the table, or, with ``make_send`` (see ``fetch_live``), the collected urls are fetched anew.
     """
     ship_package(spark)
-    urls = step("collect", lambda: final_urls(discover(pages, config, on_missing, starts, graph), config, robots_text), spark, "ord bigint, url string")
-    fetched = (lambda: fetch_pages(urls, pages)) if make_send is None else (lambda: successful(fetch_live(urls, config, make_send)))
-    teasers = step("teasers", lambda: teasers_of(fetched(), config), spark, TEASERS)
-    docs = documents(teasers, config.id, new_run_id(), config.intro.present, config.datetime.present, date_field)
-    status = index.replace(docs, config.id, None, allow_empty_snapshot)
+    with temporary(spark):
+        urls = step("collect", lambda: final_urls(discover(pages, config, on_missing, starts, graph), config, robots_text), spark, "ord bigint, url string")
+        fetched = (lambda: fetch_pages(urls, pages)) if make_send is None else (lambda: successful(fetch_live(urls, config, make_send)))
+        teasers = step("teasers", lambda: teasers_of(fetched(), config), spark, TEASERS)
+        docs = documents(teasers, config.id, new_run_id(), config.intro.present, config.datetime.present, date_field)
+        status = index.replace(docs, config.id, None, allow_empty_snapshot)
     log.log(logging.ERROR if status.errors else logging.INFO, "%s: %s", config.id, status)
     return status
 

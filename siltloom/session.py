@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,31 @@ def work_folder(spark: SparkSession, name: str) -> str:
             folder = tempfile.mkdtemp(prefix="siltloom-")
             atexit.register(shutil.rmtree, folder, True)
             root = context._siltloom_work = f"file://{folder}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made(spark).append(folder)
+    return folder
+
+
+def _made(spark: SparkSession) -> list[str]:
+    """Work folders of this session that were not removed."""
+    context = spark.sparkContext
+    if not hasattr(context, "_siltloom_folders"):
+        context._siltloom_folders = []
+    return context._siltloom_folders
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Work folders made inside are removed at the end, when nothing lazy reads them any more."""
+    made = _made(spark)
+    before = len(made)
+    try:
+        yield
+    finally:
+        for folder in made[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del made[before:]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

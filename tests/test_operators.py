@@ -220,6 +220,55 @@ def test_run_site_and_batch(spark, tmp_path):
     assert run_all(spark, {"sites": [{"siteKey": "none"}]}, str(tmp_path), pages, index) == 1
 
 
+def test_a_run_leaves_no_work_folders(spark, tmp_path):
+    from siltloom.session import _made
+
+    before = list(_made(spark))
+    pages = page(spark, (f"{B}/", '<div id=content><a href="/a">a</a></div>'), (f"{B}/a", "<h1>A</h1>"))
+    index = Index(spark, f"file://{tmp_path}/w")
+    run_site(spark, site(start_urls=((f"{B}/", 0),), title=FieldSpec(True, css=("h1",))), pages, index)
+    assert _made(spark) == before and index.read("s").count() == 1
+
+
+def test_batch_parses_pages_once_and_asks_robots(spark, tmp_path):
+    for key, section in (("one", "#content"), ("two", "#content")):
+        (tmp_path / f"{key}.yaml").write_text(
+            f"parameters:\n  id: {key}\n  start_urls: ['{B}/']\n  title.css: [h1]\n  respect_robots_txt: {'true' if key == 'two' else 'false'}\n  robots_url: {B}/robots.txt\n  link_section: '{section}'\n"
+        )
+    asked = []
+
+    def load(url):
+        asked.append(url)
+        return "User-agent: *\nDisallow: /x"
+
+    pages = page(spark, (f"{B}/", '<div id=content><a href="/a">a</a><a href="/x/b">b</a></div>'), (f"{B}/a", "<h1>A</h1>"), (f"{B}/x/b", "<h1>B</h1>"))
+    index = Index(spark, f"file://{tmp_path}/batch")
+    assert run_all(spark, {"sites": [{"siteKey": "one"}, {"siteKey": "two"}]}, str(tmp_path), pages, index, load) == 0
+    assert asked == [f"{B}/robots.txt"] and index.status("one").total == 2 and index.status("two").total == 1
+
+
+def test_live_source_in_a_run(spark, tmp_path):
+    def sender(agent):
+        return lambda url: Response(200, {}, f"<h1>Live {url[-1]}</h1>") if url.endswith("a") else Response(404, {}, "no")
+
+    pages = page(spark, (f"{B}/", '<div id=content><a href="/a">a</a><a href="/b">b</a></div>'))
+    index = Index(spark, f"file://{tmp_path}/live")
+    config = site(start_urls=((f"{B}/", 0),), title=FieldSpec(True, css=("h1",)))
+    assert run_site(spark, config, pages, index, make_send=sender) == (1, 1, 0)
+    assert [r["title"] for r in index.read("s").collect()] == ["Live a"]
+
+
+def test_work_folder_needs_a_shared_one_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from siltloom.session import work_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        work_folder(fake, "x")
+
+
 def test_robots_texts_are_kept():
     asked = []
 
