@@ -129,10 +129,15 @@ def _links_only(node: Node) -> bool:
 
 def _is_junk_block(node: Node, title: str) -> bool:
     """A block of one line that is left out wherever it stands; headlines are none."""
-    if node.tag in _HEADS or node.tag in INLINE :
-        return False
-    if any(k.tag not in INLINE for k in node.walk() if k is not node):
+    if node.tag in _HEADS or node.tag in INLINE:
         return False
+    todo = [node]
+    while todo:
+        for k in todo.pop().kids:
+            if not isinstance(k, str):
+                if k.tag not in INLINE:
+                    return False
+                todo.append(k)
     text = node.text()
     return text != title and is_junk(text)
 

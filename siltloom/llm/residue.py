@@ -44,6 +44,8 @@ GRAMMARS: dict[str, str] = {
     "empty values": r"\(null\)|\[object Object\]|(?<![\w.])(?:null|undefined|NaN)(?![\w.])",
 }
 _PLACE = re.compile("|".join(GRAMMARS.values()))
+#: Without one of these no grammar matches.
+_SIGNS = re.compile(r"[{%#@_\[]|!!|\?[A-Za-z]|null|undefined|NaN")
 #: Words that announce an explanation of placeholders rather than an unfilled one.
 _TUTORIAL = re.compile(
     r"(?i)\b(?:placeholders?|platzhaltern?|variablen?|variables?|serienbriefe?n?|form letters?|fields? such|felder wie|champs? comme|"
@@ -98,7 +100,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def placeholder_share(text: str) -> tuple[int, int]:
     """(placeholders, words beside them)."""
-    found = _PLACE.findall(text)
+    found = _PLACE.findall(text) if _SIGNS.search(text) else ()
     return len(found), len(_WORD.findall(_PLACE.sub(" ", text))) if found else len(_WORD.findall(text))
 
 
@@ -116,7 +118,7 @@ def is_residue(text: str, names: Iterable[str] = (), whole: bool = True) -> bool
     sentences = [x for x in _SENTENCE.split(text) if x]
     if len(sentences) > 1 and all(_MESSAGE.fullmatch(x) for x in set(sentences)):
         return True
-    count, rest = placeholder_share(text)
+    count, rest = placeholder_share(text) if _SIGNS.search(text) else (0, 0)
     if count:
         lower = text.lower()
         beside = rest
@@ -133,11 +135,10 @@ def is_residue(text: str, names: Iterable[str] = (), whole: bool = True) -> bool
             if whole and count / (count + rest) >= 0.5:
                 return True
     words = _WORD.findall(text.lower())
-    if words:
+    if not _STRONG_FILLER.isdisjoint(words):
         filler = sum(w in _FILLER_WORDS for w in words)
-        strong = sum(w in _STRONG_FILLER for w in words)
         numbers = sum(w.isdigit() for w in words)
-        if strong and filler >= 2 and filler >= 0.8 * (len(words) - numbers):
+        if filler >= 2 and filler >= 0.8 * (len(words) - numbers):
             return True
     return False
 
