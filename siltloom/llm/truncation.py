@@ -6,9 +6,9 @@ of the source: how its texts end, and its own cap (given, or told by the heap of
 undecided, mostly titles, which have no terminators, is held against the corpus: how often the last words go on
 elsewhere, how often a longer word stands in their place, and how often a text ends with them.
 
-Plan: equal values are judged once, and given to their rows by a join from which hot values are taken out. Words in
-their contexts are 64-bit keys; a bitmap of the keys that are asked for goes to the tasks, which count only these,
-in arrays, before anything is shuffled.
+Plan: every row is judged where it is read, so most never move. Words in their contexts are 64-bit keys; a bitmap of
+the keys that are asked for goes to the tasks, which count only these, in arrays, before anything is shuffled. Rows that
+ask the same share one answer, and are joined with it by a join from which hot answers are taken out.
 """
 
 from __future__ import annotations
@@ -339,7 +339,7 @@ def caps(values: DataFrame, sites: DataFrame) -> DataFrame:
     given = sites.select(
         "sp_source", F.explode(F.map_from_arrays(F.array(F.lit("title"), F.lit("introtext")), F.array("title_max_chars", "intro_max_chars"))).alias("field", "given")
     ).dropDuplicates(["sp_source", "field"])
-    lengths = values.groupBy("sp_source", "field", F.length("value").alias("len")).agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("value").rlike(r"[.!?]\W*$") | F.col("value").rlike(r"(\.\.\.|…)\W*$"), F.col("n")).otherwise(0)).alias("open"))
+    lengths = values.groupBy("sp_source", "field", F.length("value").alias("len")).agg(F.count("*").alias("n"), F.count_if(~F.col("value").rlike(r"[.!?]\W*$") | F.col("value").rlike(r"(\.\.\.|…)\W*$")).alias("open"))
     group = Window.partitionBy("sp_source", "field")
     near = group.orderBy("len").rangeBetween(-6, 6)
     below = group.orderBy("len").rangeBetween(-SPREAD, 0)
@@ -363,7 +363,7 @@ def baselines(shaped: DataFrame) -> DataFrame:
 
 
 _SHAPED = (
-    "hi bigint, lo bigint, k bigint, n bigint, sp_source string, field string, broken boolean, mark boolean, stop boolean, tag_open boolean, closed boolean, quote_open boolean, w string, "
+    "teaser_id bigint, sp_source string, field string, k bigint, broken boolean, mark boolean, stop boolean, tag_open boolean, closed boolean, quote_open boolean, w string, "
     "one_sentence boolean, q0 bigint, q1 bigint, q2 bigint, q3 bigint, q4 bigint, len int"
 )
 
@@ -387,46 +387,41 @@ def _shaper(names: tuple[str, ...]):
                 column = np.zeros(len(pdf), np.int64)
                 column[at] = q.view(np.int64)
                 shapes[f"q{i}"] = column
-            yield pd.concat([pdf[["hi", "lo", "k", "n", "sp_source", "field"]], shapes, pdf["value"].str.len().astype("int32").rename("len")], axis=1)
+            yield pd.concat([pdf[["teaser_id", "sp_source", "field", "k"]], shapes, pdf["value"].str.len().astype("int32").rename("len")], axis=1)
 
     return run
 
 
-def judge_values(teasers: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with the key of their value, judged values ``hi, lo, n, is_cut, step``; ``step``: what decided)."""
+def judge_values(teasers: DataFrame, sites: DataFrame) -> DataFrame:
+    """``teaser_id, sp_source, field, is_cut, step`` of every value that is neither null nor blank; ``step``: what decided."""
     bound_arrow(teasers.sparkSession, 5000)
     names = _registry_names(sites)
-    long = teasers.select("teaser_id", "sp_source", F.xxhash64(canonical_url(F.col("url"))).alias("record"), F.explode(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))).alias("field", "value")).where("trim(value) <> ''")
-    key = [F.xxhash64(F.lit(s), "field", F.coalesce("sp_source", F.lit("")), "value") for s in (1, 2)]
-    rows = long.select("teaser_id", "sp_source", "field", key[0].alias("hi"), key[1].alias("lo"), "value", "record")
-    # records that have a value are counted by the bits they set among 64: enough to know one from several
-    bits = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(record, 64) as int))")))
-    records = F.greatest(F.lit(1), F.round(-64 * F.log(1 - F.least(bits, F.lit(63)) / 64)))
-    values = cut(
-        rows.groupBy("hi", "lo", "sp_source", "field", "value")
-        .agg(F.count("*").alias("n"), records.cast("bigint").alias("records"))
-        .withColumn("k", F.xxhash64("field", canonical(F.regexp_replace("value", "<[^<>]*>", " ")))),
-        "p6-values",
-    )
-    shaped = cut(spread(values).mapInPandas(_shaper(names), _SHAPED), "p6-shapes")
-    limit = small_side(caps(values, sites).join(baselines(shaped), ["sp_source", "field"], "full_outer"), "p6-caps")
-    first = shaped.join(limit, ["sp_source", "field"], "left").withColumn("early", _by_structure_and_baseline())
-    first = cut(first, "p6-first")
-    undecided = first.where("early is null")
-    # texts that have a stop in another row are whole
-    whole = shaped.where("stop").join(undecided.where("not mark").select("k"), "k", "left_semi").select("k").distinct().withColumn("whole", F.lit(True))
+    fields = F.explode(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))).alias("field", "value")
+    long = teasers.select("teaser_id", "sp_source", "url", fields).where("trim(value) <> ''").withColumn("k", F.xxhash64("field", canonical(F.regexp_replace("value", "<[^<>]*>", " "))))
+    shaped = cut(spread(long.select("teaser_id", "sp_source", "field", "k", "value")).mapInPandas(_shaper(names), _SHAPED), "p6-shapes")
+    limit = small_side(caps(long, sites).join(baselines(shaped), ["sp_source", "field"], "full_outer"), "p6-caps")
+    first = cut(shaped.join(limit, ["sp_source", "field"], "left").withColumn("early", _by_structure_and_baseline()), "p6-first")
+    undecided = first.where("early is null").withColumn("sig", F.xxhash64("k", "one_sentence", *[f"q{lv}" for lv in range(5)]))
+    asking = cut(undecided.groupBy("sig").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("one_sentence").alias("one_sentence"), *[F.first(f"q{lv}").alias(f"q{lv}") for lv in range(5)]), "p6-asking")
     each = [F.struct(F.lit(lv).alias("level"), F.col(f"q{lv}").alias("q")) for lv in range(4)] + [F.when(F.col("one_sentence"), F.struct(F.lit(4).alias("level"), F.col("q4").alias("q")))]
-    asked = undecided.select("hi", "lo", F.explode(F.array_compact(F.array(*each))).alias("x")).select("hi", "lo", "x.level", "x.q")
+    asked = asking.select("sig", F.explode(F.array_compact(F.array(*each))).alias("x")).select("sig", "x.level", "x.q")
     keys = cut(asked.groupBy("q").agg(F.count("*").alias("asked")), "p6-keys")
-    # formatting variants of one value are one witness
-    witnesses = values.groupBy("k").agg(F.first("value").alias("value"), F.sum("records").alias("records"))
+    # formatting variants of one value are one witness; records that have it are counted by the bits they set among 64: enough to know one from several
+    record = F.pmod(F.xxhash64(canonical_url(F.col("url"))), F.lit(64)).cast("int")
+    bits = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), record)))
+    records = F.greatest(F.lit(1), F.round(-64 * F.log(1 - F.least(bits, F.lit(63)) / 64)))
+    witnesses = long.groupBy("k").agg(F.first("value").alias("value"), records.cast("bigint").alias("records"))
     answers = cut(keys.join(key_counts(witnesses, keys.select("q"), names), "q"), "p6-answers")
-    answered = join_counted(asked, answers, ["q"], "asked", 5 * undecided.count())
+    answered = join_counted(asked, answers, ["q"], "asked", 5 * asking.count())
     per = {lv: F.max(F.when(F.col("level") == lv, F.struct("mid", "eos", "end", "pre"))).alias(f"l{lv}") for lv in range(5)}
-    evidence = answered.groupBy("hi", "lo").agg(*per.values())
-    late = undecided.join(evidence, ["hi", "lo"], "left").join(whole, "k", "left").select("hi", "lo", "n", _by_contexts().alias("is_cut"), F.lit("contexts").alias("step"))
-    early = first.where("early is not null").select("hi", "lo", "n", F.col("early.is_cut"), F.col("early.step"))
-    return rows.drop("value", "record"), cut(early.unionByName(late), "p6-judged")
+    # texts that have a stop in another row are whole
+    whole = shaped.where("stop").select("k").distinct().withColumn("whole", F.lit(True))
+    evidence = asking.select("sig", "k", "n").join(answered.groupBy("sig").agg(*per.values()), "sig", "left").join(whole, "k", "left").drop("k")
+    evidence = cut(evidence, "p6-evidence")
+    total = evidence.agg(F.sum("n")).first()[0] or 0
+    late = join_counted(undecided, evidence, ["sig"], "n", total).select("teaser_id", "sp_source", "field", _by_contexts().alias("is_cut"), F.lit("contexts").alias("step"))
+    early = first.where("early is not null").select("teaser_id", "sp_source", "field", "early.is_cut", "early.step")
+    return early.unionByName(late)
 
 
 #: A text ends naturally where the ends seen elsewhere are at least this share of the places where it goes on.
@@ -487,19 +482,14 @@ def truncated(teasers: DataFrame, sites: DataFrame) -> DataFrame:
     Null and blank values are no cases; repeated rows are judged alike and give rows each; an unknown source
     has no cap. An empty table gives no rows.
     """
-    rows, judged = judge_values(teasers, sites)
-    found = judged.where("is_cut").select("hi", "lo", "n")
-    total = judged.agg(F.sum("n")).first()[0] or 0
-    return join_counted(rows.select("teaser_id", "field", "hi", "lo"), found, ["hi", "lo"], "n", total).select("teaser_id", F.col("field").alias("field_name"))
+    return judge_values(teasers, sites).where("is_cut").select("teaser_id", F.col("field").alias("field_name"))
 
 
 def truncation_rates(teasers: DataFrame, sites: DataFrame) -> DataFrame:
     """``sp_source, field_name, n_values, n_cut, rate``: how often each source cuts each field's values."""
-    rows, judged = judge_values(teasers, sites)
-    total = judged.agg(F.sum("n")).first()[0] or 0
     return (
-        join_counted(rows, judged.drop("step"), ["hi", "lo"], "n", total)
+        judge_values(teasers, sites)
         .groupBy("sp_source", F.col("field").alias("field_name"))
-        .agg(F.count("*").alias("n_values"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut"))
+        .agg(F.count("*").alias("n_values"), F.count_if("is_cut").alias("n_cut"))
         .withColumn("rate", F.col("n_cut") / F.col("n_values"))
     )

@@ -292,7 +292,6 @@ def test_structure_decides_before_counts(spark, sites):
     good = [(i, f"u{i}", f"Der Verein {i} lädt ein", f"Im Saal {i} gibt es Kaffee. Es wird gesungen.", "a") for i in range(40)]
     bad = [(100, "v1", "Der Chor (mit Gästen", "Im Saal gibt es <b>Kaffee", "a"), (101, "v2", "Ein Lied f&uu", "Es wird gesungen. Im Saal gibt", "a"), (102, "v3", "„Wir kommen", None, "a")]
     df = spark.createDataFrame([(*x, None, None) for x in good + bad], TEASERS)
-    rows, judged = judge_values(df, sites)
-    got = {(r["teaser_id"], r["field"]): (r["is_cut"], r["step"]) for r in rows.join(judged, ["hi", "lo"]).collect()}
+    got = {(r["teaser_id"], r["field"]): (r["is_cut"], r["step"]) for r in judge_values(df, sites).collect()}
     assert [got[k] for k in ((100, "title"), (100, "introtext"), (101, "title"), (102, "title"))] == [(True, "structure")] * 4
     assert got[101, "introtext"] == (True, "baseline") and got[0, "introtext"] == (False, "structure") and got[0, "title"] == (False, "contexts")
