@@ -397,7 +397,9 @@ def judge_values(teasers: DataFrame, sites: DataFrame) -> DataFrame:
     bound_arrow(teasers.sparkSession, 5000)
     names = _registry_names(sites)
     fields = F.explode(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))).alias("field", "value")
-    long = teasers.select("teaser_id", "sp_source", "url", fields).where("trim(value) <> ''").withColumn("k", F.xxhash64("field", canonical(F.regexp_replace("value", "<[^<>]*>", " "))))
+    record = F.pmod(F.xxhash64(canonical_url(F.col("url"))), F.lit(64)).cast("int").alias("record")
+    long = teasers.select("teaser_id", "sp_source", record, fields).where("trim(value) <> ''").withColumn("k", F.xxhash64("field", canonical(F.regexp_replace("value", "<[^<>]*>", " "))))
+    long = cut(long, "p6-values")
     shaped = cut(spread(long.select("teaser_id", "sp_source", "field", "k", "value")).mapInPandas(_shaper(names), _SHAPED), "p6-shapes")
     limit = small_side(caps(long, sites).join(baselines(shaped), ["sp_source", "field"], "full_outer"), "p6-caps")
     first = cut(shaped.join(limit, ["sp_source", "field"], "left").withColumn("early", _by_structure_and_baseline()), "p6-first")
@@ -407,8 +409,7 @@ def judge_values(teasers: DataFrame, sites: DataFrame) -> DataFrame:
     asked = asking.select("sig", F.explode(F.array_compact(F.array(*each))).alias("x")).select("sig", "x.level", "x.q")
     keys = cut(asked.groupBy("q").agg(F.count("*").alias("asked")), "p6-keys")
     # formatting variants of one value are one witness; records that have it are counted by the bits they set among 64: enough to know one from several
-    record = F.pmod(F.xxhash64(canonical_url(F.col("url"))), F.lit(64)).cast("int")
-    bits = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), record)))
+    bits = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("record"))))
     records = F.greatest(F.lit(1), F.round(-64 * F.log(1 - F.least(bits, F.lit(63)) / 64)))
     witnesses = long.groupBy("k").agg(F.first("value").alias("value"), records.cast("bigint").alias("records"))
     answers = cut(keys.join(key_counts(witnesses, keys.select("q"), names), "q"), "p6-answers")
