@@ -59,6 +59,8 @@ _FILLER_WORDS = frozenset(
     officia deserunt mollit anim id est laborum blindtext platzhaltertext mustertext mustertitel musterzeile dummytext fülltext""".split()
 )
 _STRONG_FILLER = frozenset("lorem ipsum amet consectetur adipiscing eiusmod incididunt nostrud veniam aliqua blindtext mustertext mustertitel musterzeile platzhaltertext dummytext labore tempor".split())
+#: Filler words that are words of the sites' languages, too; a text of these alone is none. Fixed values.
+_LIVING = frozenset("in do ex ad id non est sunt sit ea minim anim culpa fugiat ut et".split())
 _END = r"[\s.!…?]*"
 #: Messages that stand where content should be; each must cover the whole text. Fixed values.
 _MESSAGES = [
@@ -135,6 +137,9 @@ def is_residue(text: str, names: Iterable[str] = (), whole: bool = True) -> bool
             if whole and count / (count + rest) >= 0.5:
                 return True
     words = _WORD.findall(text.lower())
+    plain = [w for w in words if not w.isdigit()]
+    if len(plain) > 1 and _FILLER_WORDS.issuperset(plain) and not _LIVING.issuperset(plain):
+        return True
     if not _STRONG_FILLER.isdisjoint(words):
         filler = sum(w in _FILLER_WORDS for w in words)
         numbers = sum(w.isdigit() for w in words)

@@ -194,6 +194,15 @@ def test_spellings_of_site_names(spark, sites):
     assert title_is_residue("{{title}} | Mühlstädtel", names) and not title_is_residue("Mühlstädtel | Wochenmarkt", names)
 
 
+def test_filler_without_its_best_known_words():
+    from siltloom.llm.residue import title_is_residue
+
+    for title in ("Dolore sit sit magna", "SED DOLOR DOLOR 2", "Magna sed magna! 2"):
+        assert title_is_residue(title), title
+    for title in ("Magna", "Sit in", "Magna Carta", "Non est", "Sed und Dolor"):
+        assert not title_is_residue(title), title
+
+
 def test_too_many_site_names_are_an_error(spark, monkeypatch):
     from siltloom.llm import residue, truncation
 
