@@ -9,7 +9,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltloom.config import DateSpec, FieldSpec, Reader, ScoreRule, Scoring, SiteConfig, site_config
@@ -224,8 +224,12 @@ def page_guard(spark: SparkSession, d: str) -> DataFrame:
     return guard(read_table(spark, d, "pages_in")).select("page_id", F.octet_length("html").alias("n_bytes"))
 
 
+def _moment(name: str) -> Column:
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss")
+
+
 def extract_pages(spark: SparkSession, d: str) -> DataFrame:
-    return extract_teasers(read_table(spark, d, "pages_in"), SITE)
+    return extract_teasers(read_table(spark, d, "pages_in"), SITE).withColumn("datetime", _moment("datetime"))
 
 
 CASCADE_CONFIG = SITE.with_(
@@ -402,7 +406,7 @@ def clean_teasers_raw(spark: SparkSession, d: str) -> DataFrame:
 def site_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Pages to index documents: guard, DOM pass, required fields, caps, cleaning, projection."""
     teasers = teasers_of(read_table(spark, d, "pages_in"), SITE)
-    return documents(teasers, SITE.id, "run-1", True, False)
+    return documents(teasers, SITE.id, "run-1", True, False).withColumns({"sp_source": F.array_join("sp_source", ","), "sp_date": _moment("sp_date")})
 
 
 def site_run(spark: SparkSession, d: str) -> DataFrame:
@@ -469,7 +473,7 @@ def stream_pages(spark: SparkSession, d: str) -> DataFrame:
     fs, path = Pointer(spark, d)._fs(table)
     pages = page_stream(spark, table) if fs.getFileStatus(path).isDirectory() else page_stream(spark, d, pattern="pages_in.parquet")
     stream_teasers(pages, SITE, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema("url string, title string, introText string, datetime timestamp").parquet(f"{folder}/out")
+    return spark.read.schema("url string, title string, introText string, datetime timestamp").parquet(f"{folder}/out").withColumn("datetime", _moment("datetime"))
 
 
 def _instants(spark: SparkSession, d: str) -> DataFrame:

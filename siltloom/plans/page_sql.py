@@ -58,7 +58,7 @@ FROM (
   FROM (SELECT page_id, url, fetched_at, html AS page, regexp_replace(html, '{_SCRIPTS}', '', 'g') AS html FROM pages_in WHERE {_GUARD})
 ) WHERE t IS NOT NULL AND i IS NOT NULL
 """
-EXTRACT = f"SELECT url, {_cut('t', 120)} AS title, {_cut('i', 200)} AS introText, NULL::TIMESTAMP AS datetime FROM ({TEASERS})"
+EXTRACT = f"SELECT url, {_cut('t', 120)} AS title, {_cut('i', 200)} AS introText, NULL::VARCHAR AS datetime FROM ({TEASERS})"
 
 
 def cleaned(x: str) -> str:
@@ -70,8 +70,8 @@ def cleaned(x: str) -> str:
 
 CLEAN = f"SELECT * FROM (SELECT url, {cleaned('title')} AS title, {cleaned('introText')} AS introText, datetime FROM ({EXTRACT})) WHERE title <> ''"
 DOCUMENTS = f"""
-SELECT url AS id, title, CASE WHEN introText NOT IN ('', '0') THEN introText END AS sp_intro, NULL::TIMESTAMP AS sp_date, url, 'all_sites' AS sp_objecttype, 'run-1' AS crawl_process_id,
-  ['all_sites'] AS sp_source FROM ({CLEAN})
+SELECT url AS id, title, CASE WHEN introText NOT IN ('', '0') THEN introText END AS sp_intro, NULL::VARCHAR AS sp_date, url, 'all_sites' AS sp_objecttype, 'run-1' AS crawl_process_id,
+  'all_sites' AS sp_source FROM ({CLEAN})
 """
 _BODY = f"""
 CASE WHEN page LIKE '%<main%' THEN {_first("page", "(?s)<main[^>]*>(.*?)</main>")}
