@@ -158,6 +158,7 @@ def title_is_residue(title: str | None, names: Iterable[str] = ()) -> bool:
     if not title or not title.strip():
         return False
     names = tuple(names)
+    title = " ".join(title.split())
     if is_residue(title, names):
         return True
     parts = [p for p in _SEPARATED.split(title) if p.strip()]

@@ -50,13 +50,14 @@ _GARBLED = re.compile(r"[�\u0080-\u009f]|[ÃÂ][\u0080-¿€‚ƒ„…†‡
 _SUSPECT = re.compile(r"[�\u0080-\u009fÃÂ¤¶¼€šŸ]")
 _BULLET = re.compile(r"\s*(?:[-–—•*·▪◦‣»>]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _STOP = re.compile(r"[.!?…:][\s\"”“»«’')\]]*\Z")
-_INNER_STOP = re.compile(r"[^\W\d_]{2,}[.!?…][\"”“»’')\]]*\s+[\"“„«‚‘'(\[–—-]*\s?[^\W\d_]")
+_INNER_STOP = re.compile(r"(?<![^\W\d_])[^\W\d_]{2,}+[.!?…][\"”“»’')\]]*\s+[\"“„«‚‘'(\[–—-]*\s?[^\W\d_]")
 _CELLS = re.compile(r"\t|\s\|\s|^\||\|$| {2,}(?=\S)|;(?=\S)|(?<=\S)\s;\s")
 _URL = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+")
 _BREAKS = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 _INVISIBLE = re.compile(r"[­​-‏⁠﻿]")
 
-_TAIL = re.compile(r"(?:\s+[^\w\s.!?…,;:()\[\]{}<>|/\\\-–—\"'”“»«’]+)+\Z")
+#: Signs that end a line as part of it; others after a space, as emoji, are a tail.
+_KEPT = frozenset("_.!?…,;:()[]{}<>|/\\-–—\"'”“»«’")
 
 #: Grammatical classes of the function words; those in none of them are "other". Fixed values.
 GRAMMAR = {
@@ -226,9 +227,23 @@ def _paragraphs(text: str) -> list[str]:
     return ["\n".join(x) for x in out]
 
 
+def _without_tail(flat: str) -> str:
+    """The line without signs at its end that stand apart; looks at no character twice."""
+    end = len(flat)
+    while True:
+        i = end
+        while i and not (flat[i - 1].isalnum() or flat[i - 1].isspace() or flat[i - 1] in _KEPT):
+            i -= 1
+        if i in (0, end) or not flat[i - 1].isspace():
+            return flat[:end]
+        while i and flat[i - 1].isspace():
+            i -= 1
+        end = i
+
+
 def _shape(line: str) -> int:
     """Of ``LINES``, by how the (unwrapped) line begins, ends and is divided."""
-    flat = _TAIL.sub("", line.replace("\n", " ").strip())
+    flat = _without_tail(line.replace("\n", " ").strip())
     if _cells(line) >= 2:
         return 0
     garbled = _garbled(flat)

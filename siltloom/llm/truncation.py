@@ -339,7 +339,8 @@ def caps(values: DataFrame, sites: DataFrame) -> DataFrame:
     given = sites.select(
         "sp_source", F.explode(F.map_from_arrays(F.array(F.lit("title"), F.lit("introtext")), F.array("title_max_chars", "intro_max_chars"))).alias("field", "given")
     ).dropDuplicates(["sp_source", "field"])
-    lengths = values.groupBy("sp_source", "field", F.length("value").alias("len")).agg(F.count("*").alias("n"), F.count_if(~F.col("value").rlike(r"[.!?]\W*$") | F.col("value").rlike(r"(\.\.\.|…)\W*$")).alias("open"))
+    end = F.substring("value", -64, 64)  # how a value ends is seen in its last signs
+    lengths = values.groupBy("sp_source", "field", F.length("value").alias("len")).agg(F.count("*").alias("n"), F.count_if(~end.rlike(r"[.!?]\W*$") | end.rlike(r"(\.\.\.|…)\W*$")).alias("open"))
     group = Window.partitionBy("sp_source", "field")
     near = group.orderBy("len").rangeBetween(-6, 6)
     below = group.orderBy("len").rangeBetween(-SPREAD, 0)

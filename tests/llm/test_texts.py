@@ -295,3 +295,15 @@ def test_structure_decides_before_counts(spark, sites):
     got = {(r["teaser_id"], r["field"]): (r["is_cut"], r["step"]) for r in judge_values(df, sites).collect()}
     assert [got[k] for k in ((100, "title"), (100, "introtext"), (101, "title"), (102, "title"))] == [(True, "structure")] * 4
     assert got[101, "introtext"] == (True, "baseline") and got[0, "introtext"] == (False, "structure") and got[0, "title"] == (False, "contexts")
+
+
+def test_patterns_are_linear():
+    """Long runs of one sign take no longer than their length."""
+    import time
+
+    from siltloom.llm.residue import title_is_residue
+
+    began = time.perf_counter()
+    for text in ("a" * 50_000, "* " * 50_000 + "x", "!" * 50_000 + "x", "a" * 50_000 + "1", "x" + " " * 50_000 + "x", "\n" * 50_000 + "x"):
+        describe(text), shape(text), title_is_residue(text)
+    assert time.perf_counter() - began < 10
