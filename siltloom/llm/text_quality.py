@@ -230,6 +230,8 @@ def _paragraphs(text: str) -> list[str]:
 def _without_tail(flat: str) -> str:
     """The line without signs at its end that stand apart; looks at no character twice."""
     end = len(flat)
+    if not end or flat[-1].isalnum() or flat[-1] in _KEPT:
+        return flat
     while True:
         i = end
         while i and not (flat[i - 1].isalnum() or flat[i - 1].isspace() or flat[i - 1] in _KEPT):
